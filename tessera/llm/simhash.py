@@ -93,7 +93,8 @@ def _planes(bits: np.ndarray, planes: int) -> np.ndarray:
     for c in range(columns):
         grid = np.zeros((-(-n // 64) * 64, 64), np.uint8)
         grid[:n] = np.unpackbits(np.ascontiguousarray(bits[:, c]).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-        out.append(np.packbits(grid.T[: min(64, planes - 64 * c)], axis=1, bitorder="little").view(np.uint64))
+        packed = np.packbits(np.ascontiguousarray(grid.T[: min(64, planes - 64 * c)]), axis=1, bitorder="little")
+        out.append(np.ascontiguousarray(packed).view(np.uint64))
     return np.concatenate(out)
 
 
