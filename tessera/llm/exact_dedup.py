@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACE, bounded, text_of, written
 
 MAX_WORDS = 1 << 30
+#: Rows from which a group of equal texts counts as heavy.
+HEAVY = 100
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,8 +62,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     found = written(digests(df, id_col, text_col))
     maybe, alone = repeated(found, rows_per_word)
-    groups = maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    counted = maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = written(maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    # groups of more rows than HEAVY are few: their rows meet them without a shuffle, so none lands in one task
+    large = F.col("group_size") > HEAVY
+    met = maybe.join(bounded(groups.where(large)), "text_sha256", "left")
+    small = met.where("group_size is null").select("doc_id", "text_sha256").join(groups.where(~large), "text_sha256")
+    counted = met.where("group_size is not null").unionByName(small).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
     through = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return counted.unionByName(through)
 
