@@ -31,11 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from tessera.llm.common import text_of, written
+from tessera.llm.common import bounded, text_of, written
 
 #: Words that make a repeated run worth deleting.
 MIN_WORDS = 50
+#: Texts that a task holds at once besides those Spark hands over together.
+ROWS = 500
+#: Places from which an interval counts as large.
+HEAVY = 100
 
 
 def windows(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +64,17 @@ def lines(df: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
         for batch in batches:
-            docs, pos, ids, fw, bw = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), strict=True):
-                found = text.encode().split(b"\n")
-                f, b = windows(np.array([len(x.split()) for x in found]), min_words)
-                docs.append(np.full(len(found), doc))
-                pos.append(np.arange(len(found)))
-                ids.append(np.array([h(x) for x in found], np.uint64).view(np.int64))
-                fw.append(f)
-                bw.append(b)
-            if docs:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                docs, pos, ids, fw, bw = [], [], [], [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    found = text.as_py().encode().split(b"\n")
+                    f, b = windows(np.array([len(x.split()) for x in found]), min_words)
+                    docs.append(np.full(len(found), doc))
+                    pos.append(np.arange(len(found)))
+                    ids.append(np.array([h(x) for x in found], np.uint64).view(np.int64))
+                    fw.append(f)
+                    bw.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t.type.to_pandas_dtype())) for x, t in zip((docs, pos, ids, fw, bw), schema, strict=True)], schema=schema)
 
     return df.select("doc", "text").mapInArrow(run, "doc long, pos int, line long, forward int, backward int")
@@ -112,9 +118,13 @@ def later_copies(rows: DataFrame, min_words: int) -> DataFrame:
         # the window's interval: its first 2^k lines and its last 2^k lines
         keyed = here.join(head, ["doc", "start"]).withColumn("end", (F.col("start") + F.col("length") - (1 << k)).cast("int")).join(tail, ["doc", "end"])
         keyed = written(keyed.select("doc", "start", "length", "head", "tail"))
-        firsts = keyed.groupBy("length", "head", "tail").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = keyed.join(firsts, ["length", "head", "tail"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-        later = later.select("doc", "start", "length")
+        interval = ["length", "head", "tail"]
+        firsts = written(keyed.groupBy(*interval).agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+        # large intervals are few: their places meet them without a shuffle, so none lands in one task
+        met = keyed.join(bounded(firsts.where(F.col("n") > HEAVY)), interval, "left")
+        small = met.where("n is null").select("doc", "start", *interval).join(firsts.where(F.col("n") <= HEAVY), interval)
+        both = met.where("n is not null").unionByName(small, allowMissingColumns=True)
+        later = both.where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "start", "length")
         found = later if found is None else found.unionByName(later)
     return written(found)
 
@@ -130,29 +140,26 @@ def line_dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     merged = cuts.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(by))
     merged = merged.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
     gone = written(merged.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts")))
-    joined = rows.join(gone, rows["__doc"] == gone["doc"], "left").drop("doc")
     names = [f.name for f in schema.fields]
+    joined = rows.join(gone, rows["__doc"] == gone["doc"], "left").select(*(F.col(f"`{n}`") for n in names if n != text_col), "__text", "__cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = dict(zip(batch.schema.names, batch.columns, strict=True))
-            texts, total, removed = [], [], []
-            for text, cuts in zip(column["__text"].to_pylist(), column["__cuts"].to_pylist(), strict=True):
-                found = text.split("\n")
-                total.append(len(found))
-                if cuts:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                column = dict(zip(part.schema.names, part.columns, strict=True))
+                texts, total, removed = [], [], []
+                for text, cuts in zip(column["__text"], column["__cuts"].to_pylist(), strict=True):
+                    text = text.as_py()
+                    found = text.split("\n")
+                    total.append(len(found))
                     keep = np.ones(len(found), bool)
-                    for c in cuts:
+                    for c in cuts or ():
                         keep[c["start"] : c["end"]] = False
                     removed.append(int(len(found) - keep.sum()))
-                    text = "\n".join([x for x, k in zip(found, keep, strict=True) if k])
-                else:
-                    removed.append(0)
-                texts.append(text)
-            column[text_col] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*(column[n] for n in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
-
-    from pyspark.sql.types import LongType, StructType
+                    texts.append("\n".join([x for x, k in zip(found, keep, strict=True) if k]) if cuts else text)
+                column[text_col] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*(column[n] for n in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
     out = StructType([*schema.fields]).add("n_lines", LongType()).add("n_removed", LongType())
     return joined.mapInArrow(run, out)
