@@ -1,19 +1,463 @@
-"""All queries by name, with SQL for those that SQL can express."""
+"""All queries by name, with SQL for those that SQL can express.
+
+events stand in for peers' requests: user_id is the peer, event_type the kind of request, value the latency in ms. documents and
+pages are files, orders and lineitem placements, part and supplier holders. Doubles are rounded to 6 places.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import bytes_, codecs
+from tessera.operators import blocks, graph, policy, sketch, store, telemetry
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+B = 64  # characters to a block, where documents are cut by characters
+PREFIX = "/v3/"
+
+
+def query(sql: str | None = None):
+    """Registers a function of the tables (t("events") reads one) as a query, with SQL for the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def char_blocks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, no, hash) of every block of B characters."""
+    n = F.ceil(F.length("text") / B).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(F.col("text"), i * B + 1, F.lit(B)))
+    return docs.where(F.length("text") > 0).select(id_col, F.posexplode(cut).alias("no", "data")).select(id_col, "no", F.sha2("data", 256).alias("hash"))
+
+
+SQL_BLOCKS = "b AS (SELECT doc_id, i AS no, sha256(substr(text, i * 64 + 1, 64)) AS hash FROM documents, unnest(range((length(text) + 63) // 64)) AS u(i))"
+
+
+@query(f"""WITH {SQL_BLOCKS}, n AS (SELECT hash, count(DISTINCT doc_id) AS docs FROM b GROUP BY hash)
+SELECT doc_id, count(*) AS blocks, count(DISTINCT b.hash) AS distinct_blocks, count(DISTINCT CASE WHEN docs > 1 THEN b.hash END) AS shared_blocks FROM b JOIN n ON b.hash = n.hash GROUP BY doc_id""")
+def block_dedup_report(t):
+    per = char_blocks(t("documents")).groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    docs = per.groupBy("hash").agg(F.count("*").alias("docs"))
+    return per.join(docs, "hash").groupBy("doc_id").agg(F.sum("n").alias("blocks"), F.count("*").alias("distinct_blocks"), F.sum(F.when(F.col("docs") > 1, 1).otherwise(0)).alias("shared_blocks"))
+
+
+@query(f"WITH {SQL_BLOCKS} SELECT hash, count(*) AS copies, count(DISTINCT doc_id) AS docs FROM b GROUP BY hash HAVING count(DISTINCT doc_id) > 1")
+def block_shared_between_docs(t):
+    per = char_blocks(t("documents")).groupBy("hash", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("hash").agg(F.sum("n").alias("copies"), F.count("*").alias("docs")).where("docs > 1")
+
+
+@query(f"""WITH {SQL_BLOCKS}, q AS (SELECT DISTINCT sha256(substr(text, i * 64 + 1, 64)) AS hash FROM benchmark, unnest(range((length(text) + 63) // 64)) AS u(i))
+SELECT doc_id, count(*) AS blocks FROM b WHERE hash IN (SELECT hash FROM q) GROUP BY doc_id""")
+def benchmark_block_overlap(t):
+    known = char_blocks(t("benchmark"), "item_id").select("hash").distinct()
+    return char_blocks(t("documents")).join(known, "hash", "left_semi").groupBy("doc_id").agg(F.count("*").alias("blocks"))
+
+
+@query(f"WITH {SQL_BLOCKS} SELECT DISTINCT hash FROM b WHERE hash NOT IN (SELECT hash FROM b WHERE doc_id % 2 = 0)")
+def blocks_not_stored(t):
+    """Blocks of odd documents that even ones don't store yet."""
+    found = char_blocks(t("documents"))
+    return found.join(found.where("doc_id % 2 = 0").select("hash"), "hash", "left_anti").select("hash").distinct()
+
+
+@query(r"""SELECT doc_id, hex(encode(substr(text, 101, 60))) AS part FROM documents WHERE length(text) >= 160""")
+def range_read(t):
+    """Characters 100 to 160 through block-wise reads, as hex."""
+    docs = t("documents").where(F.length("text") >= 160)
+    cut = F.transform(F.sequence(F.lit(100 // B), F.lit(159 // B)), lambda i: F.substr(F.col("text"), i * B + 1, F.lit(B)))
+    return docs.select("doc_id", F.hex(F.encode(F.substr(F.array_join(cut, ""), F.lit(100 % B + 1), F.lit(60)), "UTF-8")).alias("part"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)
+SELECT l_orderkey, bit_xor(l_partkey) AS lane_a, bit_xor(l_suppkey) AS lane_b, count(*) AS blocks FROM l GROUP BY l_orderkey""")
+def xor_encode_lanes(t):
+    """Exclusive or over the members of a tuple, by integer lanes."""
+    return t("lineitem").groupBy("l_orderkey").agg(F.bit_xor("l_partkey").alias("lane_a"), F.bit_xor("l_suppkey").alias("lane_b"), F.count("*").alias("blocks"))
+
+
+@query("SELECT doc_id, sha256(text) AS content FROM documents WHERE doc_id % 20 = 0")
+def xor_roundtrip(t):
+    """Every twentieth document (the stated query set) is encoded with pads, stored, decoded and read back: its bytes must be what they were."""
+    files = t("documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
+    stored, tuples = blocks.encode(files, 4096, 3)
+    sizes = files.select("file_id", F.lit(0).alias("start"), F.octet_length("content").alias("end"))
+    back = blocks.read_range(blocks.decode(tuples, stored), sizes, 4096)
+    return back.select(F.col("file_id").alias("doc_id"), F.sha2("content", 256).alias("content"))
+
+
+@query("""SELECT doc_id, CAST(ceil(strlen(text) / 136.0) AS BIGINT) AS tuples, CAST(ceil(ceil(strlen(text) / 136.0) * 3 / 3) AS BIGINT) AS chunks FROM documents WHERE strlen(text) > 0""")
+def descriptor_layout(t):
+    """For the smallest block size and tuples of 3: tuples, and descriptor chunks of 3 hashes each."""
+    docs = t("documents").where("text <> ''").select("doc_id", F.octet_length("text").alias("n"))
+    size, fits = blocks.SIZES["nano"], (blocks.cut_point(blocks.SIZES["nano"]) - blocks.HASH) // blocks.HASH
+    tuples = F.ceil(F.col("n") / size)
+    return docs.select("doc_id", tuples.cast("long").alias("tuples"), F.ceil(tuples * 3 / fits).cast("long").alias("chunks"))
+
+
+@query("""SELECT page_id, CASE WHEN strlen(html) = 0 THEN 0 ELSE CAST((ceil(strlen(html) * 400 / 128000.0) * 3 + ceil(ceil(strlen(html) * 400 / 128000.0) * 96 / 127968.0)) * 128000 AS BIGINT) END AS bytes FROM pages""")
+def put_size_estimate(t):
+    """Bytes that a file 400 times a page would take."""
+    return t("pages").select("page_id", blocks.put_bytes(F.octet_length("html").cast("long") * 400).alias("bytes"))
+
+
+@query("""WITH d AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice / 1000) + 1 AS BIGINT) AS blocks, o_orderstatus = 'F' AS matched FROM orders),
+c AS (SELECT *, coalesce(sum(blocks) OVER (PARTITION BY o_custkey ORDER BY matched DESC, blocks DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT o_custkey, o_orderkey, blocks, CAST(before AS BIGINT) AS covered_before FROM c WHERE before < 300""")
+def donor_cover(t):
+    rows = t("orders").select("o_custkey", F.col("o_orderkey").alias("id"), (F.floor(F.col("o_totalprice") / 1000) + 1).alias("blocks"), (F.col("o_orderstatus") == "F").alias("matched"), F.lit(300).alias("needed"))
+    return blocks.donor_cover(rows, ["o_custkey"]).select("o_custkey", F.col("id").alias("o_orderkey"), "blocks", "covered_before")
+
+
+@query("""WITH RECURSIVE f(l, a, b) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT l + 1, b, a + b FROM f WHERE l < 44),
+s AS (SELECT l AS fib, CASE WHEN l = 0 THEN 0 ELSE b - 1 + l END AS start FROM f), h AS (SELECT user_id, count(*) AS hits FROM events GROUP BY 1)
+SELECT user_id, hits, max(fib) AS fib, hits - max(start) AS count FROM h JOIN s ON s.start <= hits GROUP BY user_id, hits""")
+def hit_counter_fib(t):
+    return store.hit_counters(t("events"), "user_id")
+
+
+@query("""WITH RECURSIVE f(l, a, b) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT l + 1, b, a + b FROM f WHERE l < 44),
+s AS (SELECT l AS fib, CASE WHEN l = 0 THEN 0 ELSE b - 1 + l END AS start FROM f), h AS (SELECT user_id, count(*) AS hits FROM events GROUP BY 1),
+c AS (SELECT user_id, hits, max(fib) AS fib FROM h JOIN s ON s.start <= hits GROUP BY 1, 2) SELECT fib, count(*) AS entries, CAST(sum(hits) AS BIGINT) AS hits FROM c GROUP BY fib""")
+def rank_groups(t):
+    return store.rank_groups(store.hit_counters(t("events"), "user_id"))
+
+
+@query("""SELECT user_id, max(CASE WHEN event_type = 'click' THEN ts END) AS ejected FROM events GROUP BY user_id ORDER BY ejected NULLS LAST, user_id LIMIT 50""")
+def ejection_order_topn(t):
+    index = t("events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "click", F.col("ts"))).alias("ejected"))
+    return store.by_ejection(index, "user_id", 50)
+
+
+@query("SELECT o_custkey, o_orderkey, age FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS INTEGER) AS age FROM orders) WHERE age <= 3")
+def snapshot_retention(t):
+    return store.newest(t("orders"), 3, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "age")
+
+
+@query("""WITH l AS (SELECT user_id, count(*) AS records, max_by(event_type, event_id) AS kind, max_by(value, event_id) AS value FROM events GROUP BY 1) SELECT user_id, records, kind, value FROM l WHERE kind <> 'purchase'""")
+def wal_replay_state(t):
+    log = t("events").select("user_id", "event_id", F.col("event_type").alias("kind"), "value")
+    return store.replay(log, "user_id", "event_id", {"remove": "purchase"}).select("user_id", "records", "kind", "value")
+
+
+PLACED = "p AS (SELECT l_suppkey AS section_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS INTEGER) AS slot, l_returnflag <> 'N' AS is_free FROM lineitem)"
+
+
+def _slots(t):
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return t("lineitem").select(F.col("l_suppkey").alias("section_id"), (F.row_number().over(w) - 1).cast("int").alias("slot"), (F.col("l_returnflag") != "N").alias("is_free"))
+
+
+@query(f"WITH {PLACED} SELECT section_id, count(*) FILTER (NOT is_free) AS used, count(*) FILTER (is_free) AS free, max(CASE WHEN NOT is_free THEN slot END) AS highest, round(avg(CASE WHEN is_free THEN 0.0 ELSE 1.0 END), 6) AS occupancy FROM p GROUP BY 1")
+def section_occupancy(t):
+    return store.occupancy(_slots(t)).withColumn("occupancy", r6("occupancy"))
+
+
+@query(f"""WITH {PLACED}, o AS (SELECT section_id FROM p GROUP BY 1 HAVING avg(CASE WHEN is_free THEN 0.0 ELSE 1.0 END) < 0.5 AND count(*) FILTER (NOT is_free) > 1)
+SELECT section_id, slot, CAST(row_number() OVER (PARTITION BY section_id ORDER BY slot) - 1 AS INTEGER) AS new_slot FROM p WHERE NOT is_free AND section_id IN (SELECT section_id FROM o)""")
+def defrag_relocation(t):
+    return store.defragment(_slots(t))
+
+
+@query()
+def section_round_robin(t):
+    return store.sections(t("orders").select("o_orderkey"), ["o_orderkey"], 16, 200)
+
+
+@query()
+def lru_cache_sim(t):
+    return store.lru_hits(t("events").select("event_type", "user_id", "event_id"), "event_type", "user_id", "event_id", 30)
+
+
+@query("""SELECT o_custkey, round(least(count(*) * 128000 / 2560000.0, 1.0), 6) AS used FROM orders GROUP BY 1""")
+def capacity_used(t):
+    return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select("o_custkey", r6(store.capacity(F.col("n"), 128_000, 2_560_000)).alias("used"))
+
+
+RING = "CASE WHEN value < 5 THEN 0 ELSE least(CAST(floor(log2(value / 5.0)) + 1 AS INTEGER), 9) END"
+
+
+@query(f"SELECT {RING} AS ring, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY 1")
+def latency_rings(t):
+    return t("events").groupBy(graph.ring(F.col("value")).alias("ring")).agg(F.count("*").alias("n"), r6(F.min("value")).alias("low"), r6(F.max("value")).alias("high"))
+
+
+@query(f"""WITH r AS (SELECT user_id, event_id, {RING} AS ring FROM events), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, ring ORDER BY event_id) AS place FROM r)
+SELECT user_id, event_id, ring, CAST(place AS INTEGER) AS place, CASE WHEN place <= 8 THEN 'primary' ELSE 'secondary' END AS member FROM p WHERE place <= 12""")
+def ring_membership(t):
+    rows = t("events").select("user_id", "event_id", graph.ring(F.col("value")).alias("ring"))
+    return graph.membership(rows, ["user_id", "ring"], ["event_id"])
+
+
+@query("""SELECT user_id, round(list_reduce(list(CAST(value AS DOUBLE) ORDER BY event_id), lambda a, x: a * CAST(0.9 AS DOUBLE) + x * CAST(0.1 AS DOUBLE)), 4) AS rtt FROM events GROUP BY user_id""")
+def ewma_rtt(t):
+    values = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
+    return t("events").groupBy("user_id").agg(values.alias("v")).select("user_id", F.round(graph.moving_average(F.col("v")), 4).alias("rtt"))
+
+
+@query("SELECT event_id, round(greatest(0.0, 1 - value / 60000.0) * 0.1, 6) AS delta FROM events")
+def hebbian_delta(t):
+    return t("events").select("event_id", r6(graph.delta(F.col("value"))).alias("delta"))
+
+
+@query("SELECT supp, round(greatest(w * pow(0.999, s_suppkey % 50), 0.01), 6) AS weight FROM (SELECT s_suppkey AS supp, s_suppkey, abs(s_acctbal) / 10000 AS w FROM supplier)")
+def hebbian_decay(t):
+    return t("supplier").select(F.col("s_suppkey").alias("supp"), r6(graph.decayed(F.abs("s_acctbal") / 10000, F.col("s_suppkey") % 50)).alias("weight"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS path FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
+e AS (SELECT path[i] AS src, path[i + 1] AS dst, 0.01 AS gain FROM p, unnest(range(1, len(path))) u(i) UNION ALL SELECT path[1], path[i + 2], 0.0025 FROM p, unnest(range(1, len(path) - 1)) u(i) UNION ALL SELECT path[i + 1], path[i], 0.0005 FROM p, unnest(range(1, len(path))) u(i))
+SELECT src, dst, round(greatest(CAST(sum(CAST(gain AS DOUBLE)) AS DOUBLE), 0.1), 6) AS weight FROM e GROUP BY 1, 2""")
+def hebbian_path_update(t):
+    """Suppliers of an order as a path; edges are new, so they begin at the learning rate at least."""
+    path = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"])
+    paths = t("lineitem").where("l_linenumber <= 3").groupBy("l_orderkey").agg(path.alias("path")).withColumn("step", F.lit(0.01))
+    edges = paths.limit(0).select(F.get("path", F.lit(0)).alias("src"), F.get("path", F.lit(0)).alias("dst"), F.col("step").alias("weight"))
+    return graph.learned(paths, edges).withColumn("weight", r6("weight"))
+
+
+@query("""SELECT event_type, CASE WHEN value <= 5 THEN 0 WHEN value <= 25 THEN 1 WHEN value <= 100 THEN 2 WHEN value <= 250 THEN 3 ELSE 4 END AS bucket, count(*) AS n, round(sum(floor(value * 1000)) / 1000, 3) AS sum FROM events GROUP BY 1, 2""")
+def histogram_latency(t):
+    return telemetry.histogram(t("events"), ["event_type"], "value", [5, 25, 100, 250]).withColumn("sum", F.round("sum", 3))
+
+
+@query("""WITH s AS (SELECT user_id, count(*) AS n, avg(value) AS w, max(value) > 200 AS connected FROM events GROUP BY 1) SELECT count(*) AS peers, count(*) FILTER (connected) AS connected, round(avg(w), 6) AS mean_weight, CAST(sum(n) AS BIGINT) AS requests FROM s""")
+def peer_rollup(t):
+    peers = t("events").groupBy("user_id").agg(F.array(F.count("*")).alias("requests"), F.avg("value").alias("weight"), (F.max("value") > 200).alias("connected"))
+    return telemetry.peer_rollup(peers).select("peers", "connected", r6("mean_weight").alias("mean_weight"), F.col("n").alias("requests"))
+
+
+@query("""SELECT user_id, '{"state":"running","peers":' || count(*) || ',"requests":{"click":' || count(*) FILTER (event_type = 'click') || '}}' AS health FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'click') > 0""")
+def health_json(t):
+    n = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks")).where("clicks > 0")
+    return n.select("user_id", telemetry.health_json(F.lit("running"), F.col("n"), F.create_map(F.lit("click"), F.col("clicks"))).alias("health"))
+
+
+@query("SELECT event_type, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS age FROM events) WHERE age <= 256 AND event_id > 100")
+def message_log_tail(t):
+    return telemetry.tail(t("events"), ["event_type"], ["event_id"], F.col("event_id") > 100).select("event_type", "event_id", "user_id")
+
+
+@query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def gauge_last(t):
+    last = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("x")
+    return t("events").groupBy("event_type").agg(last).select("event_type", "x.event_id", "x.value")
+
+
+@query()
+def token_bucket(t):
+    seconds = t("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).select("user_id", "event_id", (F.col("us") / 1e6).alias("at"))
+    return policy.token_bucket(seconds, ["user_id"], "at", ["at", "event_id"], 0.0001, 3.0, 1.0)
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, max(ts) + INTERVAL 6 HOUR AS fired, count(*) AS calls FROM i GROUP BY user_id, k""")
+def debounce_bursts(t):
+    return policy.debounced(t("events"), ["user_id"], "ts", "6 hours")
+
+
+@query("""SELECT user_id, max(ts) AS ts FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 12 HOUR > TIMESTAMP '2024-01-30'""")
+def ttl_expiry(t):
+    return policy.alive(t("events"), ["user_id"], "ts", F.expr("interval 12 hours"), F.expr("timestamp_ntz'2024-01-30 00:00:00'"))
+
+
+@query("SELECT event_id, (event_id % 7) * 100 <> 0 AND (event_id % 7) * 100 <= 300 AS expired FROM events")
+def deadline_sweep(t):
+    return policy.swept(t("events").select("event_id", (F.col("event_id") % 7 * 100).alias("deadline_ms")), F.lit(300)).select("event_id", "expired")
+
+
+CAP = "(p_size / 50.0)"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN {CAP} >= 0.8 THEN 'exhale' WHEN {CAP} < 0.5 THEN 'inhale' ELSE 'neutral' END AS phase, CASE WHEN {CAP} < 0.5 THEN round(5000 + 295000 * pow({CAP} / 0.5, 2), 4) END AS seek_ms,
+round(CASE WHEN {CAP} <= 0.5 THEN 1.0 WHEN {CAP} >= 0.8 THEN 0.05 ELSE 1.0 - ({CAP} - 0.5) / 0.3 * 0.95 END, 6) AS taper, CASE WHEN {CAP} >= 0.8 THEN 100 - 50 ELSE 0 END::BIGINT AS to_free FROM part""")
+def respiration(t):
+    c = F.col("p_size") / 50
+    return t("part").select("p_partkey", policy.phase(c).alias("phase"), F.round(policy.seek_interval_ms(c), 4).alias("seek_ms"), r6(policy.store_taper(c)).alias("taper"), policy.blocks_to_free(c, F.lit(100)).alias("to_free"))
+
+
+@query("""SELECT s_suppkey, s_nationkey, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY round(score, 9) DESC, s_suppkey) AS n FROM (SELECT s_suppkey, s_nationkey,
+greatest(abs(s_acctbal) / 10000, 0.01) * greatest(1 - (s_suppkey % 10) / 10.0, 0) / (1 + (s_suppkey % 100) * 100 / 5000.0) * 0.9 AS score FROM supplier)) WHERE n <= 3""")
+def storage_score_topk(t):
+    k = F.col("s_suppkey")
+    scored = t("supplier").select("s_suppkey", "s_nationkey", graph.storage_score(F.abs("s_acctbal") / 10000, k % 10 / 10, k % 100 * 100, F.lit(0.9)).alias("score"))
+    w = Window.partitionBy("s_nationkey").orderBy(F.desc(F.round("score", 9)), "s_suppkey")
+    return scored.withColumn("n", F.row_number().over(w)).where("n <= 3").select("s_suppkey", "s_nationkey", r6("score").alias("score"))
+
+
+@query(f"""SELECT p_partkey, round(CASE WHEN {CAP} >= 0.8 THEN 0.0 ELSE greatest(0.0, least(1.0, (1 - {CAP} / 0.8) / (1 + p_retailprice / 1048576) * (1 + 0.05 * least(p_partkey % 15, 10)))) END, 6) AS p FROM part""")
+def accept_probability(t):
+    return t("part").select("p_partkey", r6(graph.accept_probability(F.col("p_size") / 50, F.col("p_retailprice"), F.col("p_partkey") % 15)).alias("p"))
+
+
+@query("""WITH u AS (SELECT s_suppkey, s_nationkey, abs(s_acctbal) / 10000 AS w, (CAST('0x' || substr(md5('draw' || s_suppkey), 1, 12) AS BIGINT) + 1) / 281474976710656.0 AS u FROM supplier)
+SELECT s_suppkey, s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY -ln(u) / w, s_suppkey) AS n FROM u WHERE w >= 0.01) WHERE n <= 3""")
+def roulette_sample(t):
+    rows = t("supplier").select("s_suppkey", "s_nationkey", (F.abs("s_acctbal") / 10000).alias("w"))
+    return graph.roulette(rows, ["s_nationkey"], "s_suppkey", "w", 3, "draw").select("s_suppkey", "s_nationkey")
+
+
+def _sql_md5(seed: int, key: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || {key}), 1, 15) AS BIGINT)"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT {_sql_md5(1, "p_name")} % 8192 AS a, {_sql_md5(2, "p_name")} % 8192 AS b FROM part) SELECT DISTINCT CAST((a + b * i + i * i) % 8192 AS BIGINT) AS position FROM h, unnest(range(4)) u(i)""")
+def bloom_positions(t):
+    return sketch.bloom(t("part"), "p_name", 8192, 4)
+
+
+ELASTIC = " UNION ".join(f"SELECT {_sql_md5(1 + 2 * i, 'p_name')} % 512 AS bucket, CAST(greatest(({_sql_md5(1 + 2 * i, 'p_name')} // 512) % 256, 1) AS INTEGER) AS fingerprint FROM part" for i in range(3))
+
+
+@query(ELASTIC)
+def ebf_relation(t):
+    return sketch.elastic(t("part"), "p_name", 512, 8, 3)
+
+
+@query(f"WITH e AS ({ELASTIC}) SELECT DISTINCT bucket * 2 + fingerprint % 2 AS bucket, greatest(fingerprint // 2, 1)::INTEGER AS fingerprint FROM e")
+def ebf_expand(t):
+    return sketch.expand(sketch.elastic(t("part"), "p_name", 512, 8, 3))
+
+
+@query(f"WITH e AS ({ELASTIC}) SELECT DISTINCT bucket % 256 AS bucket, (fingerprint * 2 + CASE WHEN bucket >= 256 THEN 1 ELSE 0 END)::INTEGER AS fingerprint FROM e")
+def ebf_compress(t):
+    return sketch.compress(sketch.elastic(t("part"), "p_name", 512, 8, 3), 512)
+
+
+@query("SELECT p_name, min(p_size % 4) AS level FROM part GROUP BY p_name")
+def abf_min_level(t):
+    """Part names subscribed at a level of their own; the nearest level that holds a name."""
+    parts = t("part").select("p_name", (F.col("p_size") % 4).alias("level")).distinct()
+    held = parts.select("level", F.explode(sketch.entries(F.col("p_name"), 1 << 20, 20, 3)).alias("e")).select("level", "e.bucket", "e.fingerprint").distinct()
+    return sketch.nearest_level(parts.select("p_name").distinct(), "p_name", held, 1 << 20, 20, 3)
+
+
+@query("""WITH p AS (SELECT q.vec_id AS query, n.vec_id AS node, list_sum(list_transform(range(1, 65), lambda i: (CAST(n.embedding[i] AS DOUBLE) - q.embedding[i]) ** 2)) AS d FROM embeddings q JOIN embeddings n ON q.vec_id <> n.vec_id WHERE q.vec_id < 20)
+SELECT query, node, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, node) AS k FROM p) WHERE k <= 5""")
+def closest_n(t):
+    """The 5 nodes nearest to each of 20 stated queries."""
+    nodes = t("embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("vector"))
+    return graph.closest(nodes.where("node < 20").select(F.col("node").alias("query"), "vector"), nodes, 5).select("query", "node", F.round("distance", 4).alias("distance"))
+
+
+EDGES = "e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
+
+
+@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT e.dst, f.hops + 1 FROM f JOIN e ON f.node = e.src WHERE f.hops < 3)
+SELECT 'q' AS query, node AS holder, min(hops) AS hops FROM f WHERE node % 3 = 0 GROUP BY node""")
+def findblock_bfs(t):
+    """Holders (every third supplier) of a block that supplier 1 looks for, over at most 3 hops."""
+    item = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    after = item.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("dst"))
+    edges = item.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_suppkey").alias("src"), "dst").distinct()
+    nodes = t("supplier").select(F.col("s_suppkey").alias("node"))
+    start = nodes.where("node = 1").select(F.lit("q").alias("query"), "node", F.lit("h").alias("hash"))
+    return graph.reach(start, edges, nodes.where("node % 3 = 0").withColumn("hash", F.lit("h")), 3)
+
+
+@query("SELECT c_custkey AS path_id, 'c' || c_custkey AS entry FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def directory_resolve(t):
+    """region / nation / customer as directories, resolved by names."""
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    row = lambda df, d, n, c, leaf: df.select(d.alias("dir"), F.col(n).alias("name"), c.alias("child"), F.lit(not leaf).alias("is_dir"), F.lit(0).alias("ordinal"))
+    entries = row(t("region"), F.lit("root"), "r_name", s("r", "r_regionkey"), False)
+    entries = entries.unionByName(row(t("nation"), s("r", "n_regionkey"), "n_name", s("n", "n_nationkey"), False)).unionByName(row(t("customer"), s("n", "c_nationkey"), "c_name", s("c", "c_custkey"), True))
+    full = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return graph.resolve(full.select(F.col("c_custkey").alias("path_id"), F.lit("root").alias("root"), F.array("r_name", "n_name", "c_name").alias("segments")), entries, 3)
+
+
+@query("""SELECT page_id, 'text/html' AS content_type, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS file_hash, 'a b%' || page_id || '.html' AS name FROM pages""")
+def url_roundtrip(t):
+    """Resource URLs printed and parsed again."""
+    h = F.unhex(F.sha2("html", 256))
+    url = codecs.resource_url(F.lit("http://host"), F.lit("text/html"), F.octet_length("html").cast("long"), h, h, F.concat(F.lit("a b%"), F.col("page_id").cast("string"), F.lit(".html")), PREFIX)
+    back = t("pages").select("page_id", codecs.parse_resource_url(url, PREFIX).alias("u"))
+    return back.select("page_id", "u.content_type", "u.length", F.lower(F.hex("u.file_hash")).alias("file_hash"), "u.name")
+
+
+@query("""SELECT CASE WHEN path LIKE '%.html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime, count(*) AS n FROM (SELECT regexp_extract(url, '^[^?#]*') AS path FROM pages) GROUP BY 1""")
+def mime_rollup(t):
+    name = F.regexp_extract(F.regexp_extract("url", r"^[^?#]*", 0), r"([^/]*)$", 1)
+    return t("pages").groupBy(codecs.mime_type(name).alias("mime")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, page_id * 10 AS first, least(page_id * 10 + 500, strlen(html)) AS stop FROM pages WHERE page_id * 10 < strlen(html)""")
+def range_parse(t):
+    header = F.concat(F.lit("bytes="), (F.col("page_id") * 10).cast("string"), F.lit("-"), (F.col("page_id") * 10 + 499).cast("string"))
+    got = t("pages").select("page_id", codecs.byte_range(header, F.octet_length("html").cast("long")).alias("r")).where("r is not null")
+    return got.select("page_id", F.col("r.start").alias("first"), F.col("r.end").alias("stop"))
+
+
+@query("""SELECT p_partkey, text, channel, CAST(row_number() OVER (PARTITION BY p_size ORDER BY a, b, c, stable, text, p_partkey) AS INTEGER) AS place FROM (SELECT p_partkey, p_size, p_size % 3 AS a, p_partkey % 5 AS b, p_partkey % 7 AS c, p_partkey % 2 = 0 AS stable,
+(p_size % 3) || '.' || (p_partkey % 5) || '.' || (p_partkey % 7) || CASE WHEN p_partkey % 2 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN '-rc1' ELSE '-dev' END AS text, CASE WHEN p_partkey % 2 = 0 THEN 'stable' WHEN p_partkey % 3 = 0 THEN 'rc' ELSE 'dev' END AS channel FROM part)""")
+def version_sort(t):
+    n, k = F.col("p_size"), F.col("p_partkey")
+    tail = F.when(k % 2 == 0, "").when(k % 3 == 0, "-rc1").otherwise("-dev")
+    text = F.concat((n % 3).cast("string"), F.lit("."), (k % 5).cast("string"), F.lit("."), (k % 7).cast("string"), tail)
+    rows = t("part").select("p_partkey", "p_size", codecs.version(text).alias("v"))
+    place = F.row_number().over(Window.partitionBy("p_size").orderBy("v", "p_partkey"))
+    return rows.select("p_partkey", codecs.version_text(F.col("v")).alias("text"), codecs.channel(F.col("v")).alias("channel"), place.alias("place"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')) WHERE n <= 20")
+def offers_excluding(t):
+    """Offers of each holder without the excluded ones, 20 at most."""
+    left = t("orders").join(t("lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return left.withColumn("n", F.row_number().over(w)).where("n <= 20").select("o_custkey", "o_orderkey")
+
+
+@query("""WITH r AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS a, count(*) FILTER (event_type <> 'purchase') AS b FROM events GROUP BY 1) SELECT user_id AS message, a AS accepted, b AS refused, CASE WHEN a > 0 THEN 'done' WHEN b >= 60 THEN 'failed' ELSE 'open' END AS state FROM r""")
+def replica_quorum(t):
+    rows = t("events").select(F.col("user_id").alias("message"), (F.col("event_type") == "purchase").alias("found"))
+    return policy.quorum(rows, rows.select("message").distinct().withColumn("asked", F.lit(60))).select("message", "accepted", "refused", "state")
+
+
+@query("SELECT l_partkey AS hash, list_sort(list(DISTINCT l_suppkey)) AS waiting, min(l_linenumber) AS deadline_ms FROM lineitem GROUP BY 1")
+def request_coalescing(t):
+    rows = t("lineitem").select(F.col("l_partkey").alias("hash"), F.col("l_suppkey").alias("requester"), F.col("l_linenumber").alias("deadline_ms"))
+    return policy.coalesced(rows)
+
+
+@query("SELECT user_id, event_type, n, round(CASE WHEN n > 0 AND n < 32 THEN 50.0 * (32.0 / n) * 3 ELSE 50.0 END, 6) AS rate FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
+def effective_rate(t):
+    n = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return n.select("user_id", "event_type", "n", r6(policy.effective_rate(F.lit(50.0), F.col("n"))).alias("rate"))
+
+
+@query("""SELECT s_suppkey AS target, coalesce(latency_ms, 0.0) AS latency_ms FROM supplier LEFT JOIN (SELECT user_id, max_by(value, event_id) AS latency_ms FROM events GROUP BY 1) ON s_suppkey = user_id""")
+def measure_nodes(t):
+    seen = t("events").select(F.col("user_id").alias("target"), F.col("value").alias("latency_ms"), F.col("event_id").alias("ts"))
+    return graph.measured(t("supplier").select(F.col("s_suppkey").alias("target")), seen)
+
+
+@query("SELECT doc_id, CAST(ascii(substr(text, 1, 1)) AS INTEGER) AS first_byte, CAST((ascii(substr(text, 1, 1)) >> 3) & 1 AS INTEGER) AS bit3 FROM documents WHERE text <> '' AND ascii(substr(text, 1, 1)) < 128")
+def byte_access(t):
+    data = F.encode("text", "UTF-8")
+    rows = t("documents").where("text <> ''").select("doc_id", bytes_.byte_at(data, F.lit(0)).alias("first_byte"), bytes_.bit_at(data, F.lit(3)).alias("bit3"))
+    return rows.where("first_byte < 128")
+
 
-def block_dedup_report(spark, sf_dir):
-    """Per document: its 64-character blocks, the distinct ones, and those that other documents hold too."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    n = F.ceil(F.length("text") / 64).cast("int")
-    blocks = docs.where(F.length("text") > 0).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * 64 + 1, F.lit(64)))).alias("no", "data"))
-    hashed = blocks.select("doc_id", F.sha2("data", 256).alias("hash"))
-    per = hashed.groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
-    return per.groupBy("doc_id").agg(F.sum("n").alias("blocks"), F.count("*").alias("distinct_blocks"))
+@query("SELECT page_id, length(url) BETWEEN 1 AND 1024 AND NOT contains(url, '..') AND NOT contains(url, '/') AS valid_name, regexp_matches(url, '^[\\x20-\\x7E]{1,256}$') AS valid_type FROM pages")
+def validation(t):
+    return t("pages").select("page_id", codecs.valid_file_name(F.col("url")).alias("valid_name"), codecs.valid_content_type(F.col("url")).alias("valid_type"))
 
 
-QUERIES = {"block_dedup_report": block_dedup_report}
-ORACLES = {}
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS gone FROM events), s AS (SELECT *, sum(gone) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS stay FROM g)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS reads FROM s GROUP BY user_id, stay""")
+def sliding_ttl(t):
+    rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    return policy.sliding_sessions(rows, ["user_id"], "at", 12 * 3600.0).select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "reads")
