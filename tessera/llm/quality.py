@@ -172,6 +172,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
         if 0 < held.mean() < 1:
             unique.setdefault(min(held.tobytes(), (~held).tobytes()), path)  # a rule and its opposite say the same
     paths_ = list(unique.values())
+    if not paths_:  # no statistic tells any rows apart
+        return Rules(float(np.log(share / (1 - share))), ())
     r = np.stack([_holds(x, p) for p in paths_], 1).astype(float)
     mean, scale = r.mean(0), np.maximum(r.std(0), 0.05)
     z = (r - mean) / scale
