@@ -43,14 +43,16 @@ class Chunks:
         probe = "  a  b\nc  "
         if self.model.decode(self.model.encode(probe)) != probe:
             raise ValueError("this model normalises texts, so chunks can't stand alone")
+        self.mark = self.model.piece_to_id(MARK)
         self.table: dict[str, tuple[int, str, str]] = {}
         self.split = re.compile(f"{MARK}+[^{MARK}]*").findall
 
     def segment(self, chunk: str) -> tuple[int, str, str]:
         marks = len(chunk) - len(chunk.lstrip(MARK))
-        ids = self.model.encode(" " * (marks - 1) + chunk[marks:])  # the model puts one marker before it
+        # the model puts one marker before a text, but none before an empty one
+        ids = self.model.encode(" " * (marks - 1) + chunk[marks:]) if chunk != MARK else [self.mark]
         # decode() drops the first marker of a text only, so here it's put back
-        known = len(ids), ",".join(map(str, ids)), " " + self.model.decode(ids)
+        known = len(ids), ",".join(map(str, ids)), " " + self.model.decode(ids) if chunk != MARK else " "
         if len(self.table) >= TABLE:
             self.table.clear()
         if len(chunk) <= LONGEST:
