@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *by: str) -> DataFrame:
+def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
