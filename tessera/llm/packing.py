@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,11 +63,17 @@ class Ids:
         return self.exact.encode(text, add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=2)
+def ids_of(path: str, ranks_path: str | None, pattern: str | None) -> Ids:
+    """Ids that a worker process keeps for its next tasks."""
+    return Ids(path, ranks_path, pattern)
+
+
 def pieces(df: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece. A document longer than capacity is cut so that all pieces but the first are full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = Ids(tokenizer_path, ranks_path, pattern)
+        to_ids = ids_of(tokenizer_path, ranks_path, pattern)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

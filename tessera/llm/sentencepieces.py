@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,11 +69,17 @@ class Chunks:
         return sum(p[0] for p in parts), ",".join([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]
 
 
+@lru_cache(maxsize=2)
+def chunks_of(path: str) -> Chunks:
+    """A table that a worker process keeps for its next tasks."""
+    return Chunks(path)
+
+
 def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """One row per row of df: doc_id, n_tokens, ids_sha256, decoded_sha256; with full also ids (array of int) and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(model_path)
+        chunks = chunks_of(model_path)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for text in batch.column(1):
