@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,12 +127,39 @@ def next_hop(requests: DataFrame, peers: DataFrame, knows: DataFrame) -> DataFra
     return known.select("request", F.col("peer").cast("string").alias("peer"), "outcome").unionByName(lost)
 
 
-def closest(queries: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The n nodes (node, vector) nearest to each query (query, vector) by squared distance. queries are a stated, bounded set, so they go to the nodes; every task keeps its own best n before the shuffle."""
-    pairs = nodes.join(F.broadcast(queries.withColumnRenamed("vector", "wanted")), F.col("node") != F.col("query"))
-    d = F.aggregate(F.zip_with("vector", "wanted", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x.cast("double"))
+def closest(queries: DataFrame, nodes: DataFrame, n: int, block: int = 20_000) -> DataFrame:
+    """The n nodes (node, vector) nearest to each query (query, vector) by squared distance, itself left out. About block queries at a time go to the nodes, so what tasks hold is bounded; each batch of nodes gives its own best n before the shuffle."""
+    total = queries.count()
+    parts = max(1, -(-total // block))
+    kept = None
+    for k in range(parts):
+        table = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == k).select("query", F.col("vector").cast("array<double>").alias("vector")).toArrow()
+        if not table.num_rows:
+            continue
+        sent = queries.sparkSession.sparkContext.broadcast((table["query"].to_numpy(), np.array(table["vector"].to_pylist())))
+
+        def run(batches, sent=sent):
+            ids, q = sent.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
+                    node = part.column(0).to_numpy()
+                    x = np.array(part.column(1).to_pylist())
+                    near = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
+                    near[ids[:, None] == node[None, :]] = np.inf
+                    best = np.argsort(near, axis=1, kind="stable")[:, : n + 2]  # two more, as these distances are rounded otherwise
+                    row = np.repeat(np.arange(len(ids)), best.shape[1])
+                    col = best.ravel()
+                    real = np.isfinite(near[row, col])
+                    row, col = row[real], col[real]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(node[col]), pa.array(((q[row] - x[col]) ** 2).sum(1))], ["query", "node", "distance"])
+
+        found = nodes.select("node", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query long, node long, distance double")
+        kept = found if kept is None else kept.unionByName(found)
+    if kept is None:
+        kept = queries.sparkSession.createDataFrame([], "query long, node long, distance double")
     w = Window.partitionBy("query").orderBy("distance", "node")
-    return pairs.select("query", "node", d.alias("distance")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
 def gossip_round(members: DataFrame, seed: str) -> DataFrame:
