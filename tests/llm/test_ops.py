@@ -286,7 +286,7 @@ def test_counts_sum_to_one():
     for (b, c), n in c2.items():
         before[b] += n
         single[c] += n
-    model = lm_score.Counts(np.array([(a << 16) + b for a, b in pairs]), np.array([float(c2[p]) for p in pairs]), np.array([(a << 32) + (b << 16) + c for a, b, c in triples]), np.array([float(c3[t]) for t in triples]), before, single)
+    model = lm_score.Counts(np.array([(a << 16) + b for a, b in pairs]), np.array([float(c2[p]) for p in pairs]), np.array([(a << 32) + (b << 16) + c for a, b, c in triples]), np.array([float(c3[t]) for t in triples]), before, single, len(c3))
     ids = np.arange(lm_score.IDS, dtype=np.int32)
     for a, b in ((3, 5), (lm_score.END, 7), (9, 9)):
         column = np.stack([np.full_like(ids, b), ids], 1)
