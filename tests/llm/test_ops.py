@@ -301,6 +301,35 @@ def test_counts_sum_to_one():
     assert total == pytest.approx(1, abs=2e-3)
 
 
+def test_counts_of_all_triples(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK", 500)
+    rng = np.random.default_rng(1)
+    texts = [np.r_[(rng.integers(0, 60, rng.integers(0, 60)) ** 2) // 60, lm_score.END].astype(np.int32) for _ in range(120)]
+    c3 = Counter()
+    for i, x in enumerate(texts):
+        if i % 7 != 2:
+            y = [lm_score.END, lm_score.END, *x.tolist()]
+            c3.update(zip(y, y[1:], y[2:], strict=False))
+    c2 = Counter()
+    for (_, b, c), n in c3.items():
+        c2[b, c] += n
+    assert min(c3.values()) == 1
+    before, single = np.zeros(lm_score.IDS), np.zeros(lm_score.IDS)
+    for (b, c), n in c2.items():
+        before[b] += n
+        single[c] += n
+    pairs, triples = sorted(c2), sorted(c3)
+    model = lm_score.Counts(np.array([(a << 16) + b for a, b in pairs]), np.array([float(c2[p]) for p in pairs]), np.array([(a << 32) + (b << 16) + c for a, b, c in triples]), np.array([float(c3[t]) for t in triples]), before, single, len(c3))
+    rows = [(i, i % 7 == 2, x.astype("<u2").tobytes(), i // 9) for i, x in enumerate(texts)]
+    tokens = spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary, chunk long").repartition(3)
+    got = {r.doc_id: np.frombuffer(r.base, "<f4") for r in lm_score.based(tokens).collect()}
+    assert len(got) == len(texts)
+    for i, x in enumerate(texts):
+        ids = np.r_[lm_score.NO_ID, x].astype(np.int32)[None]
+        lead = np.r_[lm_score.END, lm_score.END, x[:-1]].astype(np.int32)[None]
+        assert np.allclose(got[i], model(lead, ids)[0], rtol=1e-4, atol=1e-9)
+
+
 def test_places():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 36, 5000))
     find = lm_score.Places(keys)
