@@ -330,6 +330,13 @@ def test_counts_of_all_triples(spark, monkeypatch):
         assert np.allclose(got[i], model(lead, ids)[0], rtol=1e-4, atol=1e-9)
 
 
+def test_training_takes_all_windows(spark):
+    x = np.arange(100, 260, dtype=np.int32)
+    rows = [(x.astype("<u2").tobytes(), np.full(len(x), 0.01, np.float32).tobytes())]
+    net = lm_score.trained(spark.createDataFrame(rows, "ids binary, base binary"))
+    assert (net.values[net.rows(x[:-1]), 2 * lm_score.DIM + 1] != 4.5).all()  # every id that another follows moved its sentinel
+
+
 def test_places():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 36, 5000))
     find = lm_score.Places(keys)
