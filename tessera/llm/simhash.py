@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -239,54 +240,105 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 WIDE = 4
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray:
-    """A SimHash of 64 * WIDE bits: the wider, the closer its distance follows the likeness of the shingles."""
+def wide_hashes(text: bytes, shingle: int = 5) -> np.ndarray:
+    """8 * WIDE bytes of hash for each different shingle of a text, a row each, in the order of the first 8."""
     import xxhash
 
     h = xxhash.xxh3_128_digest
     words = text.translate(LOWER).split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    n = max(1, len(words) - shingle + 1)
-    ends = ends[-n:]
+        return np.zeros((0, WIDE), np.uint64)
+    kinds = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    hashes = np.frombuffer(b"".join([h(k, i) for k in kinds for i in range(WIDE // 2)]), np.uint64).reshape(-1, WIDE)
+    return hashes[np.argsort(hashes[:, 0], kind="stable")]
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """A SimHash of 64 * WIDE bits: the wider, the closer its distance follows the likeness of the sets of shingles."""
     counts = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, n, HASHES // 4):
-        pairs = zip(starts[at : min(n, at + HASHES // 4)].tolist(), ends[at : at + HASHES // 4].tolist(), strict=True)
-        hashes = np.frombuffer(b"".join([h(joined[a:b], i) for a, b in pairs for i in range(WIDE // 2)]), np.uint8).reshape(-1, 8 * WIDE)
-        counts += np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
+    for at in range(0, len(hashes), HASHES // 4):
+        part = np.ascontiguousarray(hashes[at : at + HASHES // 4]).view(np.uint8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of hashes: the index of the smallest set reachable by pairs whose Jaccard index is similarity or more.
+
+    One set at a time is held against all others by the sets that each hash lies in. First those that start a star, which
+    takes the sets that are like it; then all others outside the largest group, as one end of every other pair lies there.
+    """
+    m = len(sets)
+    label = np.arange(m)
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    owner, flat = np.repeat(np.arange(m), size)[order], flat[order]
+
+    def meet(i: int) -> None:
+        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        n = high - low
+        shared = np.bincount(owner[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)], minlength=m)
+        like = np.flatnonzero(shared >= similarity * (size + size[i] - shared) - 1e-9)
+        _roots(label, np.full(len(like), i), like)
+
+    done = np.zeros(m, bool)
+    for i in range(m):
+        if label[i] == i:
+            done[i] = True
+            meet(i)
+    largest = np.bincount(label).argmax()
+    for i in np.flatnonzero((label != largest) & ~done):
+        meet(i)
+    return label
+
 
+def _tables(size: int, share: float, width: int, recall: float) -> int:
+    """How many tables of width sampled bits find a pair with the probability recall, if each of its size bits differs with the probability share."""
+    odds = np.array([comb(size, d) * share**d * (1 - share) ** (size - d) for d in range(size + 1)])
+    missed = 1 - (1 - np.arange(size + 1) / size) ** width
+    tables = 1
+    while (odds * missed**tables).sum() > 1 - recall:
+        tables += 1
+    return tables
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
-    """(doc_id, component_id) for every row: groups of texts whose word shingles have a Jaccard index of similarity or more, as wide fingerprints tell.
 
-    A pair at that similarity differs in a known share of bits; the radius lies 1.5 standard
-    deviations above it. Such a pair falls into one bucket in at least one of several tables,
-    each keyed by some sampled bits, with the wanted probability (1 where texts are equal). Bits per key
-    grow with the logarithm of the number of fingerprints, so buckets of unlike texts stay small.
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """(doc_id, component_id) for every row: groups of texts over pairs whose sets of word shingles have a Jaccard index of similarity or more.
+
+    Wide fingerprints only say which texts to compare. A pair at that similarity differs in a known
+    share of bits on average; the radius lies 3.5 standard deviations above it. Such a pair falls into one bucket
+    in at least one of several tables, each keyed by some sampled bits, with the wanted probability
+    over all distances that it may have (1 where sets are equal). Bits per key grow with the logarithm of the number of texts, so buckets of
+    unlike texts stay small. Inside the groups so found the sets themselves decide; a task holds the sets of one group.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     size = 64 * WIDE
-    radius = int(size * share + 1.5 * (size * share * (1 - share)) ** 0.5)
+    radius = int(size * share + 3.5 * (size * share * (1 - share)) ** 0.5)
     names = [f"f{i}" for i in range(WIDE)]
+    marks_of = ["s0", "s1"]  # a digest of the set
+
+    def hashed(text: pa.Scalar) -> tuple[np.ndarray, bytes]:
+        import xxhash
+
+        hashes = wide_hashes((b := text.as_buffer()) and b.to_pybytes() or b"", shingle)
+        return hashes, xxhash.xxh3_128_digest(hashes[:, :2].tobytes())
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = np.stack([wide_fingerprint((b := t.as_buffer()) and b.to_pybytes() or b"", shingle) for t in batch.column(1)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in found.T)], ["doc_id", *names])
+                found = []
+                for text in batch.column(1):
+                    hashes, digest = hashed(text)
+                    found.append(np.r_[wide_fingerprint(hashes), np.frombuffer(digest, np.uint64)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in np.stack(found).view(np.int64).T)], ["doc_id", *names, *marks_of])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     kinds = ", ".join(f"{f} long" for f in names)
-    fps = written(rows.mapInArrow(marks, f"doc_id long, {kinds}"))
-    distinct = written(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")))
+    fps = written(rows.mapInArrow(marks, f"doc_id long, {kinds}, s0 long, s1 long"))
+    distinct = written(fps.groupBy(*names, *marks_of).agg(F.min("doc_id").alias("rep")))
     n = distinct.count()
-    width = max(10, (n // 16).bit_length())
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** width)))
+    width = max(8, (n // 64).bit_length())
+    tables = _tables(size, share, width, recall)
     rng = np.random.default_rng(7)
     sampled = [rng.permutation(size)[:width] for _ in range(tables)]
 
@@ -299,15 +351,32 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     key |= ((f[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(i)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), t, np.int32)), pa.array(key.view(np.int64)), *batch.columns], ["choice", "rest", *names, "rep"])
 
-    dealt = distinct.mapInArrow(deal, f"choice int, rest long, {kinds}, rep long").repartition("choice", "rest").sortWithinPartitions("choice", "rest", "rep")
+    dealt = distinct.select(*names, "rep").mapInArrow(deal, f"choice int, rest long, {kinds}, rep long").repartition("choice", "rest").sortWithinPartitions("choice", "rest", "rep")
 
     def compare(choice: np.ndarray, rest: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
         bucket = np.cumsum(np.r_[0, (choice[1:] != choice[:-1]) | (rest[1:] != rest[:-1])])
         return _edges(linked(bucket, np.stack(more[:-1], 1).view(np.uint64), size, radius), more[-1])
 
-    found = components(dealt.mapInArrow(_by_bucket(compare), "a long, b long"))
-    classes = distinct.join(found, distinct.rep == found.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, names).select("doc_id", "component_id")
+    near = written(components(dealt.mapInArrow(_by_bucket(compare), "a long, b long")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = [hashed(text) for text in batch.column(2)]
+                digests = np.frombuffer(b"".join(d for _, d in found), np.int64).reshape(-1, 2).T
+                own = [pa.array(c) for c in digests]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, pa.array([h[:, 0].tobytes() for h, _ in found], pa.binary())], ["near", "rep", *marks_of, "held"])
+
+    def judge(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        label = alike([np.frombuffer(x.as_buffer(), np.uint64) for x in group["held"].combine_chunks()], similarity)
+        return pa.table([group["s0"], group["s1"], pa.array(group["rep"].to_numpy()[label])], ["s0", "s1", "component"])
+
+    held = rows.join(near.select(F.col("node").alias("doc_id"), F.col("component").alias("near")), "doc_id").select("near", F.col("doc_id").alias("rep"), "text")
+    held = held.mapInArrow(sets, "near long, rep long, s0 long, s1 long, held binary")
+    found = held.groupBy("near").applyInArrow(judge, "s0 long, s1 long, component long").groupBy("s0", "s1").agg(F.min("component").alias("component"))
+    classes = distinct.join(found, marks_of, "left").select(*marks_of, F.least("component", "rep").alias("component_id"))
+    return fps.join(classes, marks_of).select("doc_id", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):

@@ -108,6 +108,32 @@ def test_similar_groups(spark, odd, none):
     assert simhash.similar_groups(odd).count() == len(ODD) and simhash.similar_groups(none).isEmpty()
 
 
+def test_similar_groups_are_exact(spark):
+    r = random.Random(2)
+    words, docs = [f"w{i}" for i in range(9000)], []
+    for i in range(240):  # pairs whose Jaccard index lies between 0.65 and 0.85
+        text = [r.choice(words) for _ in range(300)]
+        docs.append((2 * i, " ".join(text)))
+        for at in r.sample(range(10, 290), 6 + i % 8):
+            text[at] = "other"
+        docs.append((2 * i + 1, " ".join(text)))
+    docs += [(1000, "the same line of words over and over " * 40 + "first end"), (1001, "the same line of words over and over " * 40 + " ".join(words[:20]))]
+    kinds = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    index = lambda i, j: len(kinds[i] & kinds[j]) / len(kinds[i] | kinds[j])
+    near = [index(i, i + 1) for i in range(0, len(docs), 2)]
+    assert sum(0.8 <= x < 0.83 for x in near) > 10 and sum(0.75 < x < 0.8 for x in near) > 20
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {d: docs[i - i % 2][0] if near[i // 2] >= 0.8 else d for i, (d, _) in enumerate(docs)}
+
+
+def test_alike():
+    rng = np.random.default_rng(4)
+    base = [rng.choice(400, 60, replace=False) for _ in range(12)]
+    sets = [np.unique(np.r_[rng.choice(base[i % 12], rng.integers(52, 60), replace=False), rng.integers(400, 800, rng.integers(0, 6))]).astype(np.uint64) for i in range(150)]
+    index = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    assert simhash.alike(sets, 0.8).tolist() == smallest(len(sets), lambda i, j: index(i, j) >= 0.8)
+
+
 # 2: packing
 
 
