@@ -7,6 +7,7 @@ from collections import OrderedDict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
 from tessera.plans.folds import folded
 
 
@@ -68,11 +69,17 @@ def log_check(payload: Column) -> Column:
 
 
 def sections(rows: DataFrame, order: list[str], n: int, slots: int) -> DataFrame:
-    """Places rows into sections in turn: section_id, slot. Rows beyond the sections' slots have none. Deals by hash parts, so no task ranks all rows."""
-    salted = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    w = Window.partitionBy("part").orderBy(*order)
-    placed = salted.withColumn("slot", (F.row_number().over(w) - 1).cast("int")).withColumnRenamed("part", "section_id")
-    return placed.withColumn("slot", F.when(F.col("slot") < slots, F.col("slot")))
+    """Places rows into n sections in turn: section_id, slot. A section that is full makes room for a new one with the next id, so every row has a slot. Rows are numbered by counted range parts, so no task ranks all rows."""
+    parts = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before, at = [], 0
+    for part, count in sorted(map(tuple, parts.groupBy("part").count().collect())):  # a row for each part
+        before.append((part, at))
+        at += count
+    offsets = rows.sparkSession.createDataFrame(before, "part int, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    placed = parts.withColumn("turn", place).join(F.broadcast(offsets), "part").withColumn("turn", F.col("turn") + F.col("before")).drop("part", "before")
+    section = F.floor(F.col("turn") / (n * slots)) * n + F.pmod("turn", F.lit(n))  # n sections that begin together are full together
+    return placed.withColumn("section_id", section.cast("int")).withColumn("slot", F.floor(F.pmod("turn", F.lit(n * slots)) / n).cast("int")).drop("turn")
 
 
 def occupancy(slots: DataFrame) -> DataFrame:

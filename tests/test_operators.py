@@ -152,6 +152,21 @@ def test_sections_and_defragmentation(spark):
     assert sorted((r.slot, r.new_slot) for r in store.defragment(df).collect()) == [(0, 0), (2, 1), (4, 2)]
 
 
+@pytest.mark.parametrize("count", [0, 5, 1000])
+def test_sections_in_turn(spark, count):
+    rows = spark.createDataFrame([(i * 7 % 1009, i) for i in range(count)], "k int, row int").repartition(5)
+    want, robin, ids, used = {}, [0, 1, 2, 3], 4, {}
+    for k in sorted(i * 7 % 1009 for i in range(count)):
+        at = robin.pop(0)
+        want[k] = at, used.setdefault(at, 0)
+        used[at] += 1
+        robin.append(at)
+        if used[at] == 30:
+            robin[-1], ids = ids, ids + 1
+    got = store.sections(rows, ["k"], 4, 30)
+    assert {r.k: (r.section_id, r.slot) for r in got.collect()} == want and set(got.columns) == {"k", "row", "section_id", "slot"}
+
+
 def test_lru(spark):
     log = [("c", k, i) for i, k in enumerate("abacba")]
     got = store.lru_hits(spark.createDataFrame(log, "cache string, k string, at int"), "cache", "k", "at", 2)
