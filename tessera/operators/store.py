@@ -7,8 +7,8 @@ from collections import OrderedDict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
 from tessera.plans.folds import folded
+from tessera.shared import written
 
 
 def _levels() -> list[tuple[int, int]]:
