@@ -1,34 +1,16 @@
-"""What the operators share: the shared folder, written tables, connected components."""
+"""What the operators share: texts, frequent rows, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII white space, as the contracts write it.
-SPACE = r"[\x20\x09-\x0D]+"
-#: A side is broadcast only when it has been counted and has at most so many rows.
-BROADCAST_ROWS = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder. A folder of its own is set only where none is."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")  # no cluster names a folder: a local session, as in tests
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+from tessera.shared import bounded, fits, met, shared_dir, written
 
+__all__ = ["SPACE", "bounded", "components", "fits", "frequent", "met", "shared_dir", "text_of", "written"]
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space, as the contracts write it.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def text_of(column: str = "text") -> Column:
@@ -36,11 +18,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is (Spark then shuffles). Counts df, so give it a written table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def frequent(df: DataFrame, limit: int, count: str = "n") -> DataFrame:
     """The rows of df with the largest counts: all from the smallest count on (above 1024 in steps of 1/32 octave) that leaves limit rows at most.
 

@@ -13,7 +13,10 @@ links leaves it, never all pairs.
 
 Null text counts as empty; a text without words has fingerprint 0 and is linked
 like any other. Repeated rows and equal texts share a fingerprint. An empty
-table gives an empty result. Other columns of the input are not read.
+table gives an empty result. A text of any length is hashed whole, HASHES shingles at
+a time. A null id is never the smallest id of its group; texts that only null ids have link with
+no other text and have a null component.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, text_of, written
+from tessera.llm.common import components, met, text_of, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes whose bits are counted at once, and pair words compared at once.
@@ -213,7 +216,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     free = [sum(0xFF << 8 * i for i in c) for c in choices]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keyed = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(~m & (1 << 64) - 1))).alias("rest")) for i, m in enumerate(free)))
-    dealt = distinct.select("fp", "rep", F.explode(keyed).alias("k")).select("k.choice", "k.rest", "fp", "rep")
+    dealt = distinct.where("rep is not null").select("fp", "rep", F.explode(keyed).alias("k")).select("k.choice", "k.rest", "fp", "rep")
     dealt = dealt.repartition("choice", "rest").sortWithinPartitions("choice", "rest", "rep")
     shifts = np.array([[8 * i for i in c] for c in choices], np.uint64)
 
@@ -230,10 +233,10 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp long, component_id) for every row: component_id is the smallest id reachable over links of at most radius differing bits."""
     fps = written(fingerprints(df, id_col, text_col, shingle))
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     found = components(links(distinct, radius))
-    classes = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = written(distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n"))
+    return met(fps, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 #: Words of a wide fingerprint.
@@ -303,7 +306,7 @@ def _tables(size: int, share: float, width: int, recall: float) -> int:
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """(doc_id, component_id) for every row: groups of texts over pairs whose sets of word shingles have a Jaccard index of similarity or more.
+    """(doc_id, twin, component_id) for every row, twin the xxhash64 of its text: groups of texts over pairs whose sets of word shingles have a Jaccard index of similarity or more.
 
     Wide fingerprints only say which texts to compare. A pair at that similarity differs in a known
     share of bits on average; the radius lies 3.5 standard deviations above it. Such a pair falls into one bucket
@@ -327,15 +330,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             if batch.num_rows:
                 found = []
-                for text in batch.column(1):
+                for text in batch.column(2):
                     hashes, digest = hashed(text)
                     found.append(np.r_[wide_fingerprint(hashes), np.frombuffer(digest, np.uint64)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in np.stack(found).view(np.int64).T)], ["doc_id", *names, *marks_of])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in np.stack(found).view(np.int64).T)], ["doc_id", "twin", *names, *marks_of])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("twin"), text_of(text_col).alias("text"))
     kinds = ", ".join(f"{f} long" for f in names)
-    fps = written(rows.mapInArrow(marks, f"doc_id long, {kinds}, s0 long, s1 long"))
-    distinct = written(fps.groupBy(*names, *marks_of).agg(F.min("doc_id").alias("rep")))
+    fps = written(rows.mapInArrow(marks, f"doc_id long, twin long, {kinds}, s0 long, s1 long"))
+    distinct = written(fps.groupBy(*names, *marks_of).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     n = distinct.count()
     width = max(8, (n // 64).bit_length())
     tables = _tables(size, share, width, recall)
@@ -375,8 +378,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = rows.join(near.select(F.col("node").alias("doc_id"), F.col("component").alias("near")), "doc_id").select("near", F.col("doc_id").alias("rep"), "text")
     held = held.mapInArrow(sets, "near long, rep long, s0 long, s1 long, held binary")
     found = held.groupBy("near").applyInArrow(judge, "s0 long, s1 long, component long").groupBy("s0", "s1").agg(F.min("component").alias("component"))
-    classes = distinct.join(found, marks_of, "left").select(*marks_of, F.least("component", "rep").alias("component_id"))
-    return fps.join(classes, marks_of).select("doc_id", "component_id")
+    classes = written(distinct.join(found, marks_of, "left").select(*marks_of, F.least("component", "rep").alias("component_id"), "n"))
+    return met(fps.select("doc_id", "twin", *marks_of), classes, marks_of, "n").select("doc_id", "twin", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):
