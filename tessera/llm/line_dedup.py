@@ -16,11 +16,12 @@ backward with min_words words is looked up in its interval by two overlapping ra
 and if the interval's first place (by document, then line) is another one, the window's
 lines are deleted. The first copy of every run stays.
 
-Lines are what "\\n" separates. Null text counts as empty and becomes the empty text.
-Rows that repeat an id and its text are one document: they aren't copies of each other
-and all come out alike (one id must not stand for two texts). Documents without a repeated run
-keep their text as it is. An empty table gives an empty result. Extra columns are
-carried through.
+Lines are what "\\n" separates; their ids have 128 bits. Null text counts as empty and becomes the
+empty text. Rows that repeat an id and its text are one document: they aren't copies of each other
+and all come out alike. Texts that share an id are documents of their own, in the order of a hash.
+Rows with a null id are left as they are and compared with nothing. Documents without a repeated run
+keep their text as it is. Very long texts are a row for each line, so they are cut like others. An empty table gives an empty result. Extra columns of any name are
+carried through; those named n_lines or n_removed give way to the counts where counts are wanted.
 """
 
 from __future__ import annotations
@@ -31,16 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessera.llm.common import bounded, text_of, written
+from tessera.llm.common import bounded, met, text_of, written
 
 #: Words that make a repeated run worth deleting.
 MIN_WORDS = 50
 #: Texts that a task holds at once besides those Spark hands over together.
 ROWS = 500
-#: Places from which an interval counts as large.
-HEAVY = 100
+#: What tells documents apart: the id, and a hash of the text.
+OWN = ["doc", "twin"]
 
 
 def windows(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,100 +57,99 @@ def windows(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def lines(df: DataFrame, min_words: int) -> DataFrame:
-    """(doc, pos, line, forward, backward): a row for each line, with its 64-bit id."""
+    """(doc, twin, pos, line, check, forward, backward): a row for each line of df (doc, text), with its id in two halves."""
     import xxhash
 
-    schema = pa.schema([("doc", pa.int64()), ("pos", pa.int32()), ("line", pa.int64()), ("forward", pa.int32()), ("backward", pa.int32())])
+    schema = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("pos", pa.int32()), ("line", pa.int64()), ("check", pa.int64()), ("forward", pa.int32()), ("backward", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh64_intdigest
+        h = xxhash.xxh3_128_digest
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                docs, pos, ids, fw, bw = [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                held: list[list[np.ndarray]] = [[] for _ in schema]
+                for doc, twin, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     found = text.as_py().encode().split(b"\n")
-                    f, b = windows(np.array([len(x.split()) for x in found]), min_words)
-                    docs.append(np.full(len(found), doc))
-                    pos.append(np.arange(len(found)))
-                    ids.append(np.array([h(x) for x in found], np.uint64).view(np.int64))
-                    fw.append(f)
-                    bw.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t.type.to_pandas_dtype())) for x, t in zip((docs, pos, ids, fw, bw), schema, strict=True)], schema=schema)
+                    n = len(found)
+                    ids = np.frombuffer(b"".join([h(x) for x in found]), np.int64).reshape(n, 2)
+                    for column, value in zip(held, (np.full(n, doc), np.full(n, twin), np.arange(n), ids[:, 0], ids[:, 1], *windows(np.array([len(x.split()) for x in found]), min_words)), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t.type.to_pandas_dtype())) for x, t in zip(held, schema, strict=True)], schema=schema)
 
-    return df.select("doc", "text").mapInArrow(run, "doc long, pos int, line long, forward int, backward int")
+    return df.select("doc", "twin", "text").mapInArrow(run, "doc long, twin long, pos int, line long, check long, forward int, backward int")
 
 
 def ranked(pairs: DataFrame, *by: str) -> DataFrame:
-    """The distinct pairs that occur more than once, with an order-preserving rank."""
-    often = pairs.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    """The distinct pairs that occur more than once, how often, and an order-preserving rank."""
+    often = pairs.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
     return written(often.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
 
 
 def suffix_ranks(rows: DataFrame, depth: int) -> list[DataFrame]:
-    """Prefix doubling. For each level k with 2^k <= depth a written table (doc, pos, rank) of the places whose next 2^k lines occur elsewhere too; ranks sort as these lines do by their ids."""
-    names = ranked(rows, "line")
-    levels = [written(rows.join(names, "line").select("doc", "pos", "rank"))]
+    """Prefix doubling. For each level k with 2^k <= depth a written table (doc, twin, pos, rank) of the places whose next 2^k lines occur elsewhere too; ranks sort as these lines do by their ids."""
+    line = ["line", "check"]
+    levels = [written(met(rows.select(*OWN, "pos", *line), ranked(rows, *line), line, "n").select(*OWN, "pos", "rank"))]
     k = 0
     while 2 << k <= depth:
         reach = 1 << k
-        after = Window.partitionBy("doc").orderBy("pos").rangeBetween(reach, reach)
+        after = Window.partitionBy(*OWN).orderBy("pos").rangeBetween(reach, reach)
         pairs = written(levels[-1].withColumn("next", F.max("rank").over(after)).where("next is not null").withColumnRenamed("rank", "first"))
-        names = ranked(pairs, "first", "next")
-        levels.append(written(pairs.join(names, ["first", "next"]).select("doc", "pos", "rank")))
+        pair = ["first", "next"]
+        levels.append(written(met(pairs, ranked(pairs, *pair), pair, "n").select(*OWN, "pos", "rank")))
         k += 1
     return levels
 
 
 def later_copies(rows: DataFrame, min_words: int) -> DataFrame:
-    """(doc, start, length) windows of lines that repeat an earlier run. rows: the written table of lines."""
+    """(doc, twin, start, length) windows of lines that repeat an earlier run. rows: the written table of lines."""
     deepest = rows.agg(F.greatest(F.max("forward"), F.max("backward"))).first()[0] or 0
     found = None
     levels = suffix_ranks(rows, deepest)
     # places whose own line repeats, with a window forward (from pos) or backward (up to pos)
-    repeated = rows.join(levels[0].select("doc", "pos"), ["doc", "pos"], "left_semi")
-    spans = repeated.where("forward > 0").select("doc", F.col("pos").alias("start"), F.col("forward").alias("length"))
-    spans = spans.unionByName(repeated.where("backward > 0").select("doc", (F.col("pos") - F.col("backward") + 1).alias("start"), F.col("backward").alias("length"))).distinct()
+    repeated = rows.join(levels[0].select(*OWN, "pos"), [*OWN, "pos"], "left_semi")
+    spans = repeated.where("forward > 0").select(*OWN, F.col("pos").alias("start"), F.col("forward").alias("length"))
+    spans = spans.unionByName(repeated.where("backward > 0").select(*OWN, (F.col("pos") - F.col("backward") + 1).alias("start"), F.col("backward").alias("length"))).distinct()
     spans = written(spans)
     for k, level in enumerate(levels):
         here = spans.where((F.col("length") >= 1 << k) & (F.col("length") < 2 << k))
-        head = level.select("doc", F.col("pos").alias("start"), F.col("rank").alias("head"))
-        tail = level.select("doc", F.col("pos").alias("end"), F.col("rank").alias("tail"))
+        head = level.select(*OWN, F.col("pos").alias("start"), F.col("rank").alias("head"))
+        tail = level.select(*OWN, F.col("pos").alias("end"), F.col("rank").alias("tail"))
         # the window's interval: its first 2^k lines and its last 2^k lines
-        keyed = here.join(head, ["doc", "start"]).withColumn("end", (F.col("start") + F.col("length") - (1 << k)).cast("int")).join(tail, ["doc", "end"])
-        keyed = written(keyed.select("doc", "start", "length", "head", "tail"))
+        keyed = here.join(head, [*OWN, "start"]).withColumn("end", (F.col("start") + F.col("length") - (1 << k)).cast("int")).join(tail, [*OWN, "end"])
+        keyed = written(keyed.select(*OWN, "start", "length", "head", "tail"))
         interval = ["length", "head", "tail"]
-        firsts = written(keyed.groupBy(*interval).agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"))
-        # large intervals are few: their places meet them without a shuffle, so none lands in one task
-        met = keyed.join(bounded(firsts.where(F.col("n") > HEAVY)), interval, "left")
-        small = met.where("n is null").select("doc", "start", *interval).join(firsts.where(F.col("n") <= HEAVY), interval)
-        both = met.where("n is not null").unionByName(small, allowMissingColumns=True)
-        later = both.where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "start", "length")
+        firsts = written(keyed.groupBy(*interval).agg(F.min(F.struct(*OWN, "start")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+        later = met(keyed, firsts, interval, "n").where(F.struct(*OWN, "start") != F.col("first")).select(*OWN, "start", "length")
         found = later if found is None else found.unionByName(later)
     return written(found)
 
 
-def line_dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with its text cleaned, and n_lines, n_removed (long) added."""
-    schema = df.schema
-    rows = df.withColumn("__text", text_of(text_col)).withColumn("__doc", F.col(id_col).cast("long"))
-    cuts = later_copies(written(lines(rows.select(F.col("__doc").alias("doc"), F.col("__text").alias("text")), min_words).distinct()), min_words)
+def line_dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """df with its text cleaned; with counts also n_lines, n_removed (long)."""
+    added = ["n_lines", "n_removed"] if counts else []
+    names = [c for c in df.columns if c not in added]
+    kept = F.struct(*(F.col(f"`{n}`") for n in names)).alias("row")
+    rows = df.select(kept, F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(f"`{text_col}`").alias("text")).withColumn("twin", F.xxhash64("text"))
+    cuts = later_copies(written(lines(rows.where("doc is not null"), min_words).distinct()), min_words)
     # spans of a document that touch or overlap become one, so the list stays as short as its runs
-    by = Window.partitionBy("doc").orderBy("start", "length")
+    by = Window.partitionBy(*OWN).orderBy("start", "length")
     reach = F.max(F.col("start") + F.col("length")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     merged = cuts.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(by))
-    merged = merged.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
-    gone = written(merged.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts")))
-    names = [f.name for f in schema.fields]
-    joined = rows.join(gone, rows["__doc"] == gone["doc"], "left").select(*(F.col(f"`{n}`") for n in names if n != text_col), "__text", "__cuts")
+    merged = merged.groupBy(*OWN, "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
+    gone = written(merged.groupBy(*OWN).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts")))
+    joined = rows.join(bounded(gone), OWN, "left").select("row", "text", "cuts")
+    fields = [f for f in df.schema.fields if f.name in names]
+    out = StructType([StructField(f.name, StringType()) if f.name == text_col else f for f in fields])
+    for name in added:
+        out = out.add(name, LongType())
+    place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                column = dict(zip(part.schema.names, part.columns, strict=True))
                 texts, total, removed = [], [], []
-                for text, cuts in zip(column["__text"], column["__cuts"].to_pylist(), strict=True):
+                for text, cuts in zip(part.column(1), part.column(2).to_pylist(), strict=True):
                     text = text.as_py()
                     found = text.split("\n")
                     total.append(len(found))
@@ -158,10 +158,10 @@ def line_dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
                         keep[c["start"] : c["end"]] = False
                     removed.append(int(len(found) - keep.sum()))
                     texts.append("\n".join([x for x, k in zip(found, keep, strict=True) if k]) if cuts else text)
-                column[text_col] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*(column[n] for n in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
+                columns = part.column(0).flatten()
+                columns[place] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (total, removed)[: len(added)])], [*names, *added])
 
-    out = StructType([*schema.fields]).add("n_lines", LongType()).add("n_removed", LongType())
     return joined.mapInArrow(run, out)
 
 
