@@ -10,21 +10,23 @@ give none. The window minima come from doubling: minima over 2, 4, 8 grams.
 A text with fewer than k words has one gram, all its words; one without words has
 none. The likeness of two fingerprints is the Jaccard index of their gram hashes, and
 1 if both are empty. Null text counts as empty. Repeated ids are ordered by text,
-so that each row has one next row. The last row's next is the first one; a table of
-one row has itself next. Other columns are not read.
+so that each row has one next row; null ids come after all others. The last row's next is the first
+one; a table of one row has itself next. Texts of any length are fingerprinted whole. An empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of, written
+from tessera.llm.common import text_of
 
-#: Ids to a part of the table in which a row finds the next one, on average.
-PART = 256
+#: Rows to a part of the table in which a row finds the next one, on average; parts at most (beyond that they grow); bytes of text to a task.
+PART, PARTS, TASK = 256, 16_384, 32 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,30 +106,46 @@ def digest(chosen: Column) -> Column:
     return F.md5(F.array_join(chosen.cast("array<string>"), ","))
 
 
+def winnowed(df: DataFrame, k: int = 5, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, grams (array of struct hash int, position int: the selected grams in order) of every row: what two texts share they share here."""
+    entry = lambda x: F.struct(F.shiftrightunsigned(x, 32).cast("int").alias("hash"), (F.lit(0xFFFFFFFF) - x.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("position"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(selected(text_of(text_col), k, window), entry).alias("grams"))
+
+
+def part_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds don't exceed value, by binary search; -1 for null."""
+    if not bounds:
+        return F.when(value.isNull(), -1).otherwise(0)
+    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+
+    def search(table: Column, at: Column, left: list[int]) -> Column:
+        if not left:
+            return at
+        to = at + left[0]
+        return let(F.when((to <= len(bounds)) & (F.get(table, to - 1) <= value), to).otherwise(at), lambda x: search(table, x, left[1:]))
+
+    found = let(F.from_json(F.lit(json.dumps(bounds)), "array<bigint>"), lambda table: search(table, F.lit(0), steps))
+    return F.when(value.isNull(), -1).otherwise(found)
+
+
 def fingerprint_pairs(df: DataFrame, k: int = 5, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    low, high, n = rows.select(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * PART // max(1, n))
-    part = F.expr(f"(doc_id - ({low}L)) div {width}L")
-    keyed = rows.withColumn("part", part)
-    # The first row of each part (largest id, then smallest text) goes also to the part that comes before it by descending id.
-    heads = written(keyed.groupBy("part").agg(F.max("doc_id").alias("head")))
-    # As many rows as parts; parts of parts, so that no task sees them all.
-    outer = F.expr(f"part div {PART}L")
-    near = heads.withColumn("outer", outer)
-    tops = near.groupBy("outer").agg(F.max("part").alias("top"))
-    after = Window.orderBy(F.desc("outer"))
-    first = F.first("top").over(after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tops = tops.select("outer", F.coalesce(F.lead("top").over(after), first).alias("beyond"))
-    inner = Window.partitionBy("outer").orderBy(F.desc("part"))
-    follows = near.withColumn("then", F.lead("part").over(inner)).join(tops, "outer").select(F.col("part").alias("before"), F.coalesce("then", "beyond").alias("follower"))
-    sent = written(heads.join(follows, heads.part == follows.follower).select("before", "head"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = min(PARTS, max(1, n // PART))
+    shares = ", ".join(f"{i / parts}D" for i in range(1, parts))
+    cuts = f"percentile_approx(doc_id, array({shares}), {20 * parts})" if parts > 1 else "array()"
+    bounds = sorted(set(rows.agg(F.expr(cuts)).first()[0] or []))
+    keyed = rows.withColumn("part", part_of(F.col("doc_id"), bounds))
+    # The first row of each part (largest id, then smallest text) goes also to the part that comes before it by descending id. PARTS + 1 rows at most.
+    heads = sorted(((r["part"], r["head"]) for r in keyed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()), reverse=True)
+    sent = [{"before": part, "head": heads[(i + 1) % len(heads)][1]} for i, (part, _) in enumerate(heads)]
+    sent = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(sent)), "array<struct<before:int,head:bigint>>")))
     own = keyed.withColumn("guest", F.lit(False))
-    guests = keyed.join(sent.hint("merge") if n > 1_000_000 else sent, keyed.doc_id == sent["head"]).select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("guest"))
+    guests = rows.join(F.broadcast(sent), rows.doc_id.eqNullSafe(sent["head"])).select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("guest"))
     w = Window.partitionBy("part").orderBy(F.asc("guest"), F.desc("doc_id"), F.asc("text"))
     chosen = own.unionByName(guests).withColumn("chosen", selected(F.col("text"), k, window))
+    chosen = chosen.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(parts, size // TASK)), "part")
     led = chosen.select("doc_id", "text", "guest", "chosen", F.lead("text").over(w).alias("next_text"), F.lead("chosen").over(w).alias("next_chosen")).where("not guest")
     n_chars = F.length("text")
     moved = F.floor(n_chars / 3).cast("int")
