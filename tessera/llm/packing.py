@@ -37,9 +37,18 @@ from tessera.llm.common import text_of, written
 SALTS = 64
 #: Characters on which the two tokenizer libraries split words alike; other texts take the slower library.
 PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u017f]")
+#: Characters of white space in a row from which the fast library's pattern may run out of stack (it does somewhere above 300,000).
+RUN = 1 << 16
+SPACES = re.compile(r"\s*")
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def long_space(text: str, run: int = RUN) -> bool:
+    """Whether text has a run of white space that long. Such a run covers every half of it: only there it's looked for."""
+    half = run // 2
+    return len(text) >= run and any(text[i].isspace() and SPACES.match(text, i).end() - i >= half for i in range(0, len(text), half))
+
+
 class Ids:
     """Text to the ids that the tokenizers library gives for a vocabulary file."""
 
@@ -58,7 +67,7 @@ class Ids:
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast and "<|" not in text and not PLAIN.search(text):
+        if self.fast and "<|" not in text and not PLAIN.search(text) and not long_space(text):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 
