@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, met, text_of, written
+from tessera.llm.common import bounded, components, met, text_of, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes whose bits are counted at once, and pair words compared at once.
@@ -239,8 +239,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return met(fps, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
-#: Words of a wide fingerprint.
-WIDE = 4
+#: Words of a wide fingerprint; hashes of sets that a task holds; sets of a large group that begin stars in a round.
+WIDE, HELD, STARS = 4, 4_000_000, 16
+#: Of so many fingerprints one is looked at to find large buckets; fingerprints of those, in a bucket, from which it counts as large.
+SAMPLE, LARGE = 64, 256
 
 
 def wide_hashes(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -265,6 +267,22 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
+class Held:
+    """Sets of hashes side by side, to hold one set against all at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets])
+        order = np.argsort(flat := np.concatenate(sets), kind="stable")
+        self.owner, self.flat = np.repeat(np.arange(len(sets)), self.size)[order], flat[order]
+
+    def like(self, one: np.ndarray, similarity: float) -> np.ndarray:
+        """The sets whose Jaccard index with one is similarity or more (two empty sets are equal)."""
+        low, high = np.searchsorted(self.flat, one, "left"), np.searchsorted(self.flat, one, "right")
+        n = high - low
+        shared = np.bincount(self.owner[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)], minlength=len(self.size))
+        return np.flatnonzero(shared >= similarity * (self.size + len(one) - shared) - 1e-9)
+
+
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set of hashes: the index of the smallest set reachable by pairs whose Jaccard index is similarity or more.
 
@@ -273,15 +291,10 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """
     m = len(sets)
     label = np.arange(m)
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(flat := np.concatenate(sets), kind="stable")
-    owner, flat = np.repeat(np.arange(m), size)[order], flat[order]
+    held = Held(sets)
 
     def meet(i: int) -> None:
-        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-        n = high - low
-        shared = np.bincount(owner[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)], minlength=m)
-        like = np.flatnonzero(shared >= similarity * (size + size[i] - shared) - 1e-9)
+        like = held.like(sets[i], similarity)
         _roots(label, np.full(len(like), i), like)
 
     done = np.zeros(m, bool)
@@ -295,6 +308,65 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for chunk in column.chunks for x in chunk]
+
+
+def met_sets(members: DataFrame, askers: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b): the links of askers (a table of near, node, size, held) with members of their group (near, node, part, parts, held). A task holds a block of askers, about most hashes, and a part of the members."""
+    weight = written(askers.groupBy("near").agg((F.floor(F.sum("size") / most) + 1).alias("n")))
+    block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    asks = written(askers.join(bounded(weight), "near").select("near", block.alias("block"), F.col("node").alias("asker"), F.col("held").alias("asked")))
+    blocks = written(asks.select("near", "block").distinct())
+    parts = members.groupBy("near").agg(F.max("parts").alias("parts"))
+    asked = asks.join(parts, "near").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("near", "block", "part", "asker", "asked")
+    dealt = members.join(bounded(blocks), "near").select("near", "block", "part", "node", "held")
+
+    def judge(own: pa.Table, asked: pa.Table) -> pa.Table:
+        a, b = [], []
+        if own.num_rows and asked.num_rows:
+            held, node = Held(_sets(own["held"])), own["node"].to_numpy()
+            for asker, one in zip(asked["asker"].to_pylist(), _sets(asked["asked"]), strict=True):
+                like = node[held.like(one, similarity)]
+                b.append(like[like != asker])
+                a.append(np.full(len(b[-1]), asker))
+        return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], ["a", "b"])
+
+    key = ["near", "block", "part"]
+    return dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(judge, "a long, b long")
+
+
+def large_groups(held: DataFrame, similarity: float, most: int, rounds: int = 4) -> DataFrame:
+    """(a, b) links whose components are those of all pairs of like sets in groups that no task should hold. held: a written table (near, node, size, held).
+
+    As in alike(): some rounds of stars, a few of each group that have no link yet; then whatever lies outside
+    the largest component of its group, in blocks. Both are held against the whole group, which is dealt out in parts.
+    """
+    weight = held.groupBy("near").agg(F.sum("size").alias("total"))
+    parts = (F.floor(F.col("total") / most) + 1).cast("int")
+    members = held.join(bounded(written(weight)), "near").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = written(members.select("near", "node", "size", "held", "parts", "part"))
+    found, asked = None, None
+    names = members.select("near", "node")
+    for _ in range(rounds):
+        free = names if found is None else names.join(found.select(F.col("b").alias("node")).unionByName(asked).distinct(), "node", "left_anti")
+        stars = written(free.groupBy("near", F.pmod(F.xxhash64("node"), F.lit(STARS)).alias("slot")).agg(F.min("node").alias("node")).select("node"))
+        if stars.isEmpty():
+            break
+        links = met_sets(members, members.join(bounded(stars), "node", "left_semi"), similarity, most // 4)
+        found = written(links if found is None else found.unionByName(links))
+        asked = written(stars if asked is None else asked.unionByName(stars))
+    label = names.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    label = written(label)
+    counts = label.groupBy("near", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("near").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    left = label.join(largest, "near").where("component <> largest").select("node").join(asked, "node", "left_anti")
+    left = written(left)
+    if left.isEmpty():
+        return found
+    return found.unionByName(met_sets(members, members.join(left, "node", "left_semi"), similarity, most // 4))
+
+
 def _tables(size: int, share: float, width: int, recall: float) -> int:
     """How many tables of width sampled bits find a pair with the probability recall, if each of its size bits differs with the probability share."""
     odds = np.array([comb(size, d) * share**d * (1 - share) ** (size - d) for d in range(size + 1)])
@@ -312,7 +384,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share of bits on average; the radius lies 3.5 standard deviations above it. Such a pair falls into one bucket
     in at least one of several tables, each keyed by some sampled bits, with the wanted probability
     over all distances that it may have (1 where sets are equal). Bits per key grow with the logarithm of the number of texts, so buckets of
-    unlike texts stay small. Inside the groups so found the sets themselves decide; a task holds the sets of one group.
+    unlike texts stay small; large buckets are candidates as they stand. Inside the groups so found the sets themselves decide: a task holds the
+    sets of one group of up to HELD hashes, and larger groups are dealt out over tasks (large_groups). Sets of equal texts, whatever their number, count once.
+    Groups have the smallest id in them; texts that only null ids have form groups with no other and a null component.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     size = 64 * WIDE
@@ -338,7 +412,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("twin"), text_of(text_col).alias("text"))
     kinds = ", ".join(f"{f} long" for f in names)
     fps = written(rows.mapInArrow(marks, f"doc_id long, twin long, {kinds}, s0 long, s1 long"))
-    distinct = written(fps.groupBy(*names, *marks_of).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "twin"))).alias("first")
+    distinct = fps.groupBy(*names, *marks_of).agg(first, F.count("*").alias("n"))
+    distinct = written(distinct.select(*names, *marks_of, F.col("first.doc_id").alias("rep"), F.col("first.twin").alias("twin"), "n"))
     n = distinct.count()
     width = max(8, (n // 64).bit_length())
     tables = _tables(size, share, width, recall)
@@ -352,33 +428,57 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 key = np.zeros(len(f), np.uint64)
                 for i, b in enumerate(bits):
                     key |= ((f[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), t, np.int32)), pa.array(key.view(np.int64)), *batch.columns], ["choice", "rest", *names, "rep"])
-
-    dealt = distinct.select(*names, "rep").mapInArrow(deal, f"choice int, rest long, {kinds}, rep long").repartition("choice", "rest").sortWithinPartitions("choice", "rest", "rep")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), t, np.int32)), pa.array(key.view(np.int64)), *batch.columns], ["choice", "rest", *names, "node"])
+
+    def tabled(some: DataFrame) -> DataFrame:
+        return some.select(*names, F.col("s0").alias("node")).mapInArrow(deal, f"choice int, rest long, {kinds}, node long")
+
+    # What lies in a large bucket is a candidate without a look at distances: links to the bucket's smallest, map-side combined.
+    # The sample only says which buckets these are, so it changes what is compared, not what is found alike.
+    known = distinct.where("rep is not null")
+    bucket = ["choice", "rest"]
+    hot = written(tabled(known.where(F.pmod(F.xxhash64("s0"), F.lit(SAMPLE)) == 0)).groupBy(*bucket).count().where(F.col("count") >= LARGE).select(*bucket))
+    dealt = tabled(known)
+    stars = None
+    if not hot.isEmpty():
+        packed = dealt.join(bounded(hot), bucket, "left_semi").select(*bucket, "node")
+        lowest = written(packed.groupBy(*bucket).agg(F.min("node").alias("low")))
+        stars = packed.join(bounded(lowest), bucket).select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b")
+        dealt = dealt.join(bounded(hot), bucket, "left_anti")
+    dealt = dealt.repartition(*bucket).sortWithinPartitions(*bucket, "node")
 
     def compare(choice: np.ndarray, rest: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
         bucket = np.cumsum(np.r_[0, (choice[1:] != choice[:-1]) | (rest[1:] != rest[:-1])])
         return _edges(linked(bucket, np.stack(more[:-1], 1).view(np.uint64), size, radius), more[-1])
 
-    near = written(components(dealt.mapInArrow(_by_bucket(compare), "a long, b long")))
+    found = dealt.mapInArrow(_by_bucket(compare), "a long, b long")
+    near = written(components(found if stars is None else found.unionByName(stars)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = [hashed(text) for text in batch.column(2)]
-                digests = np.frombuffer(b"".join(d for _, d in found), np.int64).reshape(-1, 2).T
-                own = [pa.array(c) for c in digests]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, pa.array([h[:, 0].tobytes() for h, _ in found], pa.binary())], ["near", "rep", *marks_of, "held"])
+                found = [wide_hashes((b := text.as_buffer()) and b.to_pybytes() or b"", shingle)[:, 0] for text in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["near", "node", "size", "held"])
 
     def judge(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rep")
-        label = alike([np.frombuffer(x.as_buffer(), np.uint64) for x in group["held"].combine_chunks()], similarity)
-        return pa.table([group["s0"], group["s1"], pa.array(group["rep"].to_numpy()[label])], ["s0", "s1", "component"])
-
-    held = rows.join(near.select(F.col("node").alias("doc_id"), F.col("component").alias("near")), "doc_id").select("near", F.col("doc_id").alias("rep"), "text")
-    held = held.mapInArrow(sets, "near long, rep long, s0 long, s1 long, held binary")
-    found = held.groupBy("near").applyInArrow(judge, "s0 long, s1 long, component long").groupBy("s0", "s1").agg(F.min("component").alias("component"))
-    classes = written(distinct.join(found, marks_of, "left").select(*marks_of, F.least("component", "rep").alias("component_id"), "n"))
+        group = group.sort_by("node")
+        node = group["node"].to_numpy()
+        label = alike(_sets(group["held"]), similarity)
+        far = label != np.arange(len(node))
+        return pa.table([pa.array(node[far]), pa.array(node[label[far]])], ["a", "b"])
+
+    wanted = near.join(known, near.node == known.s0).select("node", F.col("component").alias("near"), F.col("rep").alias("doc_id"), "twin")
+    texts = rows.join(wanted, ["doc_id", "twin"])
+    held = written(texts.select("near", "node", "text").mapInArrow(sets, "near long, node long, size long, held binary"))
+    large = written(held.groupBy("near").agg(F.sum("size").alias("total")).where(F.col("total") > HELD).select("near"))
+    links = held.join(bounded(large), "near", "left_anti").groupBy("near").applyInArrow(judge, "a long, b long")
+    if not large.isEmpty():
+        links = links.unionByName(large_groups(written(held.join(bounded(large), "near", "left_semi")), similarity, HELD))
+    same = components(links).select(F.col("node").alias("s0"), "component")
+    same = written(distinct.select("s0", "rep").join(same, "s0").select("s0", "rep", "component"))
+    lowest = same.groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("n"))
+    same = met(same.select("s0", "component"), written(lowest), ["component"], "n").select("s0", "low")
+    classes = written(distinct.join(same, "s0", "left").select(*marks_of, F.coalesce("low", "rep").alias("component_id"), "n"))
     return met(fps.select("doc_id", "twin", *marks_of), classes, marks_of, "n").select("doc_id", "twin", "component_id")
 
 
