@@ -5,23 +5,24 @@ of lengths alone: at most ``capacity`` numbers, whatever the data's size.
 Full pieces stand alone. Large lengths are sorted, cut into groups of equal
 cardinality and rounded up to their group's largest; over these few sizes a
 configuration programme is solved by column generation; its slots are then given
-the groups' actual lengths, and all that is left (small pieces, and large ones
-that the rounded-down solution leaves over) goes best-fit, longest first, into
+actual lengths, and all that is left (small pieces, large ones that the solution leaves over, and those of sequences
+that rounding left too empty) goes best-fit, longest first, into
 the tightest sequence with room. The plan is a bounded list of (lengths in a
 sequence, how many such sequences). Rows find their place by their rank among the
-pieces of equal length, which is counted in salted parts, so that a length that
+pieces of equal length, which is counted in salted parts, as many as the length has pieces for, so that a length that
 holds a third of all pieces is ranked by many tasks.
 
 Null text counts as empty: one piece with the end id alone. Repeated rows are
-packed as often as they occur. An empty table gives an empty result. Other
+packed as often as they occur. A null id is packed like any other. Texts of any length are cut whole into pieces. An empty table gives an empty result. Other
 columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of, written
+from tessera.llm.common import bounded, text_of, written
 
-#: Parts that the pieces of one length are ranked in.
-SALTS = 64
+#: Pieces of one length that are ranked together, on average.
+RANKED = 50_000
 #: Characters on which the two tokenizer libraries split words alike; other texts take the slower library.
 PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u017f]")
 #: Characters of white space in a row from which the fast library's pattern may run out of stack (it does somewhere above 300,000).
@@ -142,55 +143,57 @@ def _configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[
     return [(x[i], columns[:, i].astype(int)) for i in range(n)]
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 96, small: int = 64) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, how many such sequences), for how many pieces there are of each length up to capacity."""
-    done: Counter = Counter()
-    if histogram.get(capacity):
-        done[(capacity,)] = histogram[capacity]
-    large = sorted(((s, n) for s, n in histogram.items() if small < s < capacity and n), reverse=True)
-    loose = Counter({s: n for s, n in histogram.items() if 0 < s <= small and n})
-    bins: list[tuple[int, tuple[int, ...]]] = []  # how many sequences so far, their lengths
-    if large:
-        total = sum(n for _, n in large)
-        parts: list[list[list[int]]] = [[] for _ in range(min(groups, total))]
-        at = 0
-        for s, n in large:  # equal cardinality: group g holds the items ranked from total * g / groups on
-            while n:
-                g = at * len(parts) // total
-                end = -(-total * (g + 1) // len(parts))
-                took = min(n, end - at)
-                parts[g].append([s, took])
-                at, n = at + took, n - took
-        by_size: dict[int, list[list[int]]] = defaultdict(list)
-        for p in parts:
-            if p:
-                by_size[p[0][0]] += p
-        sizes = np.array(sorted(by_size), int)
-        need = np.array([sum(n for _, n in by_size[s]) for s in sizes], float)
-        queue = {i: sorted(by_size[s], reverse=True) for i, s in enumerate(sizes)}
-        for often, column in sorted(_configurations(sizes, need, capacity), key=lambda c: -c[0]):
-            slots = [i for i in np.argsort(-sizes) for _ in range(column[i])]
-            open_ = [(int(often + 1e-6), ())]
-            if not open_[0][0]:
-                continue
-            for i in slots:  # substitute actual lengths
-                filled = []
-                for n, got in open_:
-                    while n and queue[i]:
-                        head = queue[i][0]
-                        took = min(n, head[1])
-                        filled.append((took, (*got, head[0])))
-                        head[1] -= took
-                        n -= took
-                        if not head[1]:
-                            queue[i].pop(0)
-                    if n:
-                        filled.append((n, got))
-                open_ = filled
-            bins += [(n, got) for n, got in open_ if got]
-        for left in queue.values():
-            for s, n in left:
-                loose[s] += n
+def configured(large: list[tuple[int, int]], capacity: int, groups: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(how many sequences, their lengths) by linear grouping of large lengths ((length, how many), longest first). Pieces may be left over."""
+    total = sum(n for _, n in large)
+    if not total:
+        return []
+    groups = min(groups, total)
+    by_size: Counter = Counter()  # the rounded lengths
+    at, top = 0, [0] * groups
+    for s, n in large:  # equal cardinality: group g holds the items ranked from total * g / groups on
+        while n:
+            g = at * groups // total
+            took = min(n, -(-total * (g + 1) // groups) - at)
+            top[g] = top[g] or s
+            by_size[top[g]] += took
+            at, n = at + took, n - took
+    sizes = np.array(sorted(by_size), int)
+    left = dict(large)
+    order = sorted(left)
+    bins: list[tuple[int, tuple[int, ...]]] = []
+
+    def take(n: int, most: int) -> tuple[int, int]:
+        """Up to n pieces of the largest length that is left and isn't above most: (length, how many)."""
+        k = bisect_right(order, most) - 1
+        if k < 0:
+            return 0, n
+        s = order[k]
+        took = min(n, left[s])
+        left[s] -= took
+        if not left[s]:
+            order.pop(k)
+        return s, took
+
+    for often, column in sorted(_configurations(sizes, np.array([by_size[s] for s in sizes], float), capacity), key=lambda c: -c[0]):
+        slots = [int(sizes[i]) for i in np.argsort(-sizes) for _ in range(column[i])]
+        open_ = [(int(often + 1e-6), ())]
+        if not open_[0][0]:
+            continue
+        for k, slot in enumerate(slots):
+            filled = []
+            for n, got in open_:  # substitute actual lengths; the last slot takes all the room that rounding left
+                while n:
+                    s, took = take(n, capacity - sum(got) if k == len(slots) - 1 else slot)
+                    filled.append((took, (*got, s) if s else got))
+                    n -= took
+            open_ = filled
+        bins += [(n, got) for n, got in open_ if got]
+    return bins
+
+
+def best_fit(bins: list[tuple[int, tuple[int, ...]]], loose: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """bins with the loose pieces (length: how many) put in best-fit, longest first, into the tightest sequence with room or a new one."""
     room: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     rooms: list[int] = []
 
@@ -202,7 +205,7 @@ def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 96, smal
 
     for n, got in bins:
         put(n, got)
-    for s, n in sorted(loose.items(), reverse=True):  # best fit, longest first
+    for s, n in sorted(loose.items(), reverse=True):
         while n:
             k = bisect_left(rooms, s)
             if k == len(rooms):
@@ -219,21 +222,47 @@ def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 96, smal
                 put(have - took, got)
             put(took, (*got, s))
             n -= took
-    for r in rooms:
-        for n, got in room[r]:
-            done[tuple(sorted(got, reverse=True))] += n
+    return [x for r in rooms for x in room[r]]
+
+
+def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = 48, small: int = 64) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, how many such sequences), for how many pieces there are of each length below capacity.
+
+    Rounding leaves room in many of the configured sequences. So those with more room than some threshold are opened
+    again and their pieces join the best fit; the threshold that needs the fewest sequences is taken. At the
+    lowest all are opened, so there are never more sequences than best fit alone would need.
+    """
+    every = Counter({s: n for s, n in histogram.items() if 0 < s < capacity and n})
+    bins = configured(sorted(((s, n) for s, n in every.items() if s > small), reverse=True), capacity, groups)
+    best: list[tuple[int, tuple[int, ...]]] | None = None
+    for most in (capacity, 64, 16, 4, 0, -1):
+        kept = [(n, got) for n, got in bins if capacity - sum(got) <= most]
+        loose = Counter(every)
+        for n, got in kept:
+            for s in got:
+                loose[s] -= n
+        found = best_fit(kept, {s: n for s, n in loose.items() if n}, capacity)
+        if best is None or sum(n for n, _ in found) < sum(n for n, _ in best):
+            best = found
+    done: Counter = Counter()
+    for n, got in best or []:
+        done[tuple(sorted(got, reverse=True))] += n
     return sorted(done.items(), reverse=True)
 
 
-def assign(found: DataFrame, capacity: int = 1024, groups: int = 96) -> DataFrame:
-    """found (a written table of pieces) with sequence_id and offset."""
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    salted = found.withColumn("salt", salt)
-    counts = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most capacity * SALTS rows
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+def assign(found: DataFrame, capacity: int = 1024, groups: int = 48) -> DataFrame:
+    """found (a written table of pieces) with sequence_id and offset. Full pieces are sequences of their own and get numbers from 0 on without a shuffle; planned sequences have numbers below 0."""
+    full = found.where(F.col("length") == capacity).select(*found.columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = found.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    if not histogram:
+        return full
+    salts = [histogram.get(s, 0) // RANKED + 1 for s in range(capacity)]
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.from_json(F.lit(json.dumps(salts)), "array<bigint>"), F.col("length").cast("int"))))
+    counts = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     places: dict[int, list[list[int]]] = defaultdict(lambda: [[], [], []])  # by length: first rank, sequence of it, offset
     reached: Counter = Counter()
-    sequence = 0
+    sequence = 1
     for lengths, n in plan(histogram, capacity, groups):
         offset = 0
         for s in lengths:
@@ -242,14 +271,14 @@ def assign(found: DataFrame, capacity: int = 1024, groups: int = 96) -> DataFram
             reached[s] += n
             offset += s
         sequence += n
-    if dict(reached) != {s: n for s, n in histogram.items() if n}:
+    if dict(reached) != histogram:
         raise AssertionError("the plan must hold every piece once")
     table = {s: np.array(p, np.int64) for s, p in places.items()}
     sent = found.sparkSession.sparkContext.broadcast(table)  # bounded by capacity and groups, not by the data
-    before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    before = written(counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before")))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     names = [c for c in found.columns]
-    ranked = salted.withColumn("own", own).join(F.broadcast(before), ["length", "salt"]).select(*names, (F.col("before") + F.col("own") - 1).alias("rank"))
+    ranked = salted.withColumn("own", own).join(bounded(before), ["length", "salt"]).select(*names, (F.col("before") + F.col("own") - 1).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,14 +289,14 @@ def assign(found: DataFrame, capacity: int = 1024, groups: int = 96) -> DataFram
                 first, begins, offsets = sent.value[int(s)]
                 mine = length == s
                 k = np.searchsorted(first, rank[mine], "right") - 1
-                at[mine], offset[mine] = begins[k] + rank[mine] - first[k], offsets[k]
+                at[mine], offset[mine] = -(begins[k] + rank[mine] - first[k]), offsets[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{n} {t}" for n, t in found.dtypes)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return full.unionByName(ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long"))
 
 
-def pack(df: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 2, capacity: int = 1024, groups: int = 96, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 2, capacity: int = 1024, groups: int = 48, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Every piece of df's documents with its place: sequence_id and offset. with_ids adds the ids themselves."""
     return assign(written(pieces(df, tokenizer_path, ranks_path, pattern, end_id, capacity, id_col, text_col, with_ids)), capacity, groups)
 
