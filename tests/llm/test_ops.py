@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -126,6 +127,28 @@ def test_similar_groups_are_exact(spark):
     assert got == {d: docs[i - i % 2][0] if near[i // 2] >= 0.8 else d for i, (d, _) in enumerate(docs)}
 
 
+def test_large_groups_are_dealt_out(spark, monkeypatch):
+    """Buckets and groups that count as large give the groups that brute force gives."""
+    monkeypatch.setattr(simhash, "HELD", 2000)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "LARGE", 4)
+    r = random.Random(5)
+    words, docs, base = [f"w{i}" for i in range(9000)], [], None
+    base = [r.choice(words) for _ in range(250)]
+    for i in range(80):  # a chain of edits: neighbours are alike, ends aren't
+        if i % 2:
+            base[r.randrange(250)] = r.choice(words)
+        text = list(base)
+        for at in r.sample(range(250), i % 9):
+            text[at] = "other"
+        docs.append((i, " ".join(text)))
+    docs += [(100 + i, docs[3][1]) for i in range(5)]
+    kinds = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    want = smallest(len(docs), lambda i, j: len(kinds[i] & kinds[j]) >= 0.8 * len(kinds[i] | kinds[j]) - 1e-9)
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(docs, DOCS).repartition(3)).collect()}
+    assert len(set(want)) > 1 and got == {d: docs[want[i]][0] for i, (d, _) in enumerate(docs)}
+
+
 def test_alike():
     rng = np.random.default_rng(4)
     base = [rng.choice(400, 60, replace=False) for _ in range(12)]
@@ -137,19 +160,28 @@ def test_alike():
 # 2: packing
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_plan(seed):
-    r = random.Random(seed)
-    lengths = Counter(min(1024, max(1, int(r.lognormvariate(6, 1)) if seed else r.randint(300, 1024))) for _ in range([50, 500, 5000, 20000, 3][seed]))
-    plan = packing.plan(dict(lengths))
-    got = Counter()
-    for sizes, n in plan:
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        k = bisect_left(rooms, x)
+        room = rooms.pop(k) - x if k < len(rooms) else capacity - x
+        insort(rooms, room)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("kind", ["few", "uniform", "normal", "small", "middle", "log"])
+def test_plan(kind):
+    r = random.Random(7)
+    draw = {"few": lambda: r.choice([200, 300, 350, 400, 624]), "uniform": lambda: r.randint(1, 1023), "normal": lambda: min(1023, max(1, int(r.gauss(500, 200)))), "small": lambda: r.randint(1, 60), "middle": lambda: r.randint(200, 600), "log": lambda: min(1023, max(1, int(r.lognormvariate(5.5, 1))))}[kind]
+    lengths = Counter(draw() for _ in range(6000))
+    got, used = Counter(), 0
+    for sizes, n in packing.plan(dict(lengths)):
         assert sum(sizes) <= 1024
         got.update({s: n * k for s, k in Counter(sizes).items()})
+        used += n
     assert got == lengths
-    if seed:
-        assert sum(n for _, n in plan) <= 1.03 * sum(s * n for s, n in lengths.items()) / 1024 + 2
-    assert packing.plan({}) == []
+    assert used <= best_fit_decreasing(lengths.elements(), 1024)
+    assert packing.plan({}) == [] and packing.plan({5: 1}) == [((5,), 1)]
 
 
 def test_packing(spark, odd, none):
@@ -491,3 +523,115 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).isEmpty(), name
+
+
+# odd inputs, for every operator and stage
+
+LONG = 1_000_000
+TEXTS = {"spaces": " " * LONG, "line ends": "\n" * LONG, "wide spaces": "\u3000" * LONG, "one word": "x" * LONG, "null": None, "empty": "", "same": "the same text", "other": "another text"}
+LOW, HIGH = -9223372036854775807, 9223372036854775806
+EXTREME = [(LOW, "spaces"), (HIGH, "line ends"), (1, "wide spaces"), (2, "one word"), (3, "null"), (4, "empty"), (None, "same"), (None, "null"), (5, "same"), (5, "same"), (6, "same"), (5, "other")]
+CLASHES = ["doc", "twin", "n_lines", "__text", "__salt", "row", "fp", "near", "node", "length", "held", "word", "bits", "cell", "part", "guest", "chosen", "digest", "possible", "id", "cuts", "log_bytes"]
+
+
+@pytest.fixture(scope="module")
+def extreme(spark):
+    df = spark.createDataFrame([(d, TEXTS[t]) for d, t in EXTREME], DOCS).repartition(3)
+    return df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHES)))
+
+
+@pytest.mark.parametrize("name", ["near_duplicates", "similar_groups", "pack", "line_dedup", "fingerprint_pairs", "capture_histories", "scores", "url_filter", "scored", "exact_dedup", "encoded"])
+def test_extreme(spark, extreme, name):
+    labels = spark.createDataFrame([(2, 1), (4, 0)], "doc_id long, quality int")
+    run = {
+        "near_duplicates": lambda: simhash.near_duplicates(extreme), "similar_groups": lambda: simhash.similar_groups(extreme), "pack": lambda: packing.pack(extreme, JSON, RANKS, PATTERN),
+        "line_dedup": lambda: line_dedup.line_dedup(extreme), "fingerprint_pairs": lambda: fingerprints.fingerprint_pairs(extreme), "capture_histories": lambda: warc.capture_histories(extreme, id_col="doc_id", url_col="text", payload_col="text"),
+        "scores": lambda: lm_score.scores(extreme, RANKS, PATTERN), "url_filter": lambda: url_filter.url_filter(extreme, url_filter.listed(spark), id_col="doc_id", url_col="text"),
+        "scored": lambda: quality.scored(extreme, labels), "exact_dedup": lambda: exact_dedup.exact_dedup(extreme), "encoded": lambda: sentencepieces.encoded(extreme, PIECES),
+    }
+    rows = run[name]().collect()
+    if name == "pack":
+        assert {(r.doc_id, r.piece) for r in rows if r.piece == 0} == {(d, 0) for d, _ in EXTREME}
+        ends = {r.doc_id: r.start + r.length for r in rows if r.doc_id in (2, 1)}
+        assert {r.sequence_id for r in rows if r.length == 1024}.isdisjoint(r.sequence_id for r in rows if r.length < 1024) and min(ends.values()) > 1000
+        return
+    ids = "page_id" if name in ("capture_histories", "url_filter") else "doc_id"
+    key = lambda x: (x is None, x or 0)
+    assert sorted((r[ids] for r in rows), key=key) == sorted((d for d, _ in EXTREME), key=key)
+    if name == "line_dedup":
+        got = Counter((r.doc_id, r.text, r.n_removed, *(r[c] for c in CLASHES if c != "n_lines")) for r in rows)
+        assert got == Counter((d, TEXTS[t] or "", 0, *(i for i, c in enumerate(CLASHES) if c != "n_lines")) for d, t in EXTREME)
+    if name in ("near_duplicates", "similar_groups"):
+        assert {r.component_id for r in rows if r.doc_id in (3, 4, LOW, HIGH)} == {LOW} and {r.component_id for r in rows if r.doc_id == 6} == {5}
+    if name == "exact_dedup":
+        assert {(r.keep_id, r.group_size, r.kept) for r in rows if r.doc_id == 6} == {(5, 4, False)} and sum(r.kept for r in rows) == 7
+    if name == "capture_histories":
+        assert Counter(r.payload_bytes for r in rows) == Counter(len((TEXTS[t] or "").encode()) for _, t in EXTREME) and {r.record_type for r in rows} == {"response"}
+
+
+@pytest.mark.parametrize("stage", ["quality", "line_dedup", "near_dedup", "packing"])
+def test_stage_on_extreme(spark, extreme, tmp_path, stage):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(2, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = dict(pipeline.STAGES)[stage]
+    got = run(spark, extreme, str(tmp_path))
+    if stage == "packing":
+        assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {d for d, _ in EXTREME}
+    else:
+        assert got.schema.names == extreme.schema.names
+        left = Counter((r.doc_id, r.text or "", *(r[c] for c in CLASHES)) for r in got.collect())
+        whole = Counter((d, TEXTS[t] or "", *range(len(CLASHES))) for d, t in EXTREME)
+        if stage == "quality":  # too few labels to learn from: every row has the same score
+            assert left in (whole, Counter())
+        elif stage == "line_dedup":
+            assert left == whole
+        else:  # 3, 4 and HIGH are like LOW, 6 is like 5; null ids stay
+            assert left == Counter({k: n for k, n in whole.items() if k[0] not in (3, 4, 6, HIGH)})
+    assert run(spark, extreme.limit(0), str(tmp_path)).isEmpty()
+
+
+def test_twins_keep_their_lines(spark):
+    """Of two texts with one id only the copied one loses its lines."""
+    run = "\n".join(f"line {i} with some words in it" for i in range(12))
+    unique = "\n".join(f"other {i} with some words in it" for i in range(12))
+    got = line_dedup.line_dedup(spark.createDataFrame([(1, run), (2, run), (2, unique)], DOCS)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, run), (2, ""), (2, unique)])
+
+
+@pytest.mark.parametrize("least", [999, 1000])
+def test_payloads_at_the_limit(spark, least):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * least) for i in (1, 2, 3)], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.capture_histories(pages).collect()}
+    assert got == ({1: ("response", None), 2: ("response", None), 3: ("response", None)} if least < 1000 else {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None)})
+
+
+def test_records_in_pieces():
+    """Payloads that end in, begin with or hold blank lines survive the cutting at blank lines."""
+    blocks = [b"", b"\r\n", b"\r\n\r\n", b"a\r\n\r\n\r\nb", b"\r\n\r\n\r\n", b"end\r\n"]
+    whole = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    reader, got = warc.Records(), []
+    pieces = whole.split(b"\r\n\r\n")
+    for piece in pieces if pieces[-1] else pieces[:-1]:
+        got += [(at, block) for at, _, _, block in reader.feed(piece)]
+    reader.close()
+    assert [b for _, b in got] == blocks and all(whole[at:].startswith(b"WARC/1.1") for at, _ in got)
+    cut = warc.Records()
+    assert list(cut.feed(b"WARC/1.1\r\nContent-Length: 9")) == []
+    with pytest.raises(ValueError):
+        cut.close()
+
+
+def test_url_is_percent_encoded(spark):
+    pages = spark.createDataFrame([(1, "http://h/a b\tc\x7f", "x"), (2, "http://h/a%20b", "x")], "page_id long, url string, html string")
+    assert {r.page_id: r.urlkey for r in warc.capture_histories(pages).collect()} == {1: "h)/a%20b%09c%7f", 2: "h)/a%20b"}
+
+
+def test_grams_with_positions(spark):
+    """What two texts share in window + k - 1 words, their grams share."""
+    words = prose(4, 1, 400)[0].split() + [f"w{i}" for i in range(60)]
+    shared = words[-20:-8]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *shared, "y"]))], DOCS)
+    a, b = (r.grams for r in fingerprints.winnowed(rows).orderBy("doc_id").collect())
+    at = {g.hash: g.position for g in a}
+    common = [g for g in b if g.hash in at]
+    assert common and all(at[g.hash] == len(words) - 20 + g.position - 1 for g in common)
