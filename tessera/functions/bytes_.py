@@ -26,6 +26,12 @@ def bit_at(data: Column, index: Column) -> Column:
     return F.floor(byte_at(data, F.floor(index / 8)) / F.pow(F.lit(2), shift)).cast("int") % 2
 
 
+def byte_set(data: Column, index: Column, value: Column) -> Column:
+    """data with the byte at index replaced by value (0 to 255); data beyond its end."""
+    put = F.unhex(F.concat(F.substr(F.hex(data), F.lit(1), index * 2), F.lpad(F.hex(value.cast("long")), 2, "0"), F.substr(F.hex(data), index * 2 + 3, F.octet_length(data) * 2)))
+    return F.when((index >= 0) & (index < F.octet_length(data)), put).otherwise(data)
+
+
 def set_bits(positions: Column, size: int) -> Column:
     """The bitset (as '0'/'1' text, position 0 first) of size bits with the array's positions set; it grows to the largest one."""
     return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(size - 1), F.coalesce(F.array_max(positions), F.lit(0)))), lambda i: F.when(F.array_contains(positions, i), "1").otherwise("0")), "")
@@ -36,12 +42,19 @@ def _padded(parts: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(p.ljust(wide, b"\0"), np.uint8) for p in parts])
 
 
+def xored(parts: list[bytes]) -> bytes:
+    return np.bitwise_xor.reduce(_padded(parts)).tobytes()
+
+
 @F.pandas_udf(BinaryType())
-def xor_all(data: pd.Series) -> bytes:
-    """Exclusive or of a group's byte strings, null if one is null; shorter ones count as filled up with zeros. Order doesn't matter."""
-    if data.isna().any():
-        return None
-    return np.bitwise_xor.reduce(_padded([bytes(d) for d in data])).tobytes()
+def xor_array(data: pd.Series) -> pd.Series:
+    """Exclusive or of an array's byte strings; shorter ones count as filled up with zeros. Null for an empty or null array, or one that holds a null."""
+    return data.map(lambda x: None if x is None or not len(x) or any(d is None for d in x) else xored([bytes(d) for d in x]))
+
+
+def xor_all(data: Column) -> Column:
+    """xor_array over a group's rows, null if one is null. Order doesn't matter."""
+    return F.when(F.count("*") == F.count(data), xor_array(F.collect_list(data)))
 
 
 def _pairwise(name: str, how):
@@ -76,10 +89,27 @@ def content_hash(data: Column) -> Column:
     return F.unhex(F.sha2(data, 256))
 
 
-def tuple_hash(hashes: Column) -> Column:
-    """The times-33 string hash of the concatenated hashes, modulo 2^31 - 1 so that it fits plain arithmetic."""
-    text = F.array_join(F.transform(hashes, F.hex), "")
-    return F.aggregate(F.split(text, ""), F.lit(5381).cast("long"), lambda h, c: F.pmod(h * 33 + F.ascii(c), F.lit(2147483647)))
+@F.pandas_udf(LongType())
+def xxh32(data: pd.Series, seed: pd.Series) -> pd.Series:
+    """XXH32, as a long."""
+    import xxhash
+
+    return pd.Series([None if d is None else xxhash.xxh32_intdigest(bytes(d), int(s)) for d, s in zip(data, seed, strict=True)], dtype="Int64")
+
+
+@F.pandas_udf(LongType())
+def tuple_hash(hashes: pd.Series) -> pd.Series:
+    """The times-33 hash, from 5381 on, over the bytes of an array of hashes, null ones left out; 64 bits, as a signed long."""
+
+    def one(x) -> int | None:
+        if x is None:
+            return None
+        h = 5381
+        for byte in b"".join(bytes(d) for d in x if d is not None):
+            h = h * 33 + byte & 0xFFFFFFFFFFFFFFFF
+        return h - (1 << 64) if h >> 63 else h
+
+    return pd.Series([one(x) for x in hashes], dtype="Int64")
 
 
 def node_hash(node_id: Column) -> Column:

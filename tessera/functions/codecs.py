@@ -136,6 +136,19 @@ def channel(v: Column) -> Column:
     return F.when(v["stable"], "stable").when(F.contains(v["prerelease"], F.lit("rc")), "rc").otherwise("dev")
 
 
+def first_release(releases, by: list[str], order: str, tag: str, wanted: str):
+    """(by, tag): the first release in the list's order that fits a channel: stable has no prerelease, an rc has "rc" in it, dev has any."""
+    v = version(F.col(tag))
+    fits = {"stable": v["stable"], "rc": F.contains(v["prerelease"], F.lit("rc")), "dev": ~v["stable"]}[wanted]
+    return releases.where(v.isNotNull() & fits).groupBy(*by).agg(F.min_by(tag, order).alias(tag))
+
+
+def node_id(key: Column) -> Column:
+    """Struct (hash, text): a node's id from its public key, as bytes and in base58. Compare the bytes; a null key has no id."""
+    name = F.unhex(F.sha2(key, 256))
+    return F.when(key.isNotNull(), F.struct(name.alias("hash"), base58_encode(name).alias("text")))
+
+
 def path_join(*parts: Column) -> Column:
     return F.regexp_replace(F.concat_ws("/", *parts), "/{2,}", "/")
 

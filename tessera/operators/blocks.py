@@ -1,18 +1,24 @@
 """Blocks and tuples: cutting files into blocks, encoding them with pads, descriptors, decoding, range reads, estimates, donors.
 
 A file of tuple size k is kept as, for each of its blocks, k - 1 pads and the exclusive or of them all with the block. All
-names of blocks are hashes of their contents. Data columns stay out of shuffles as long as hashes will do.
+names of blocks are hashes of their contents. Encoding makes a file's blocks where the file lies: nothing but hashes shuffles.
+Reading asks for the tuples that a range needs and no others, and fetches their blocks by hash.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tessera.functions.bytes_ import content_hash, xor_all
+from tessera.functions.bytes_ import content_hash, xor_array
+from tessera.shared import written
 
 #: Block sizes in bytes, the width of a hash.
 SIZES = {"mega": 1_000_000, "standard": 128_000, "mini": 64_000, "nano": 136}
@@ -27,12 +33,17 @@ def blockify(files: DataFrame, size: int, id_col: str = "file_id", data_col: str
     return files.where(F.octet_length(data_col) > 0).select(F.col(id_col).alias("file_id"), F.posexplode(cut).alias("no", "data"))
 
 
+def pad(seed: int, key: str, size: int) -> bytes:
+    """size bytes that look random and depend on seed and key alone, so that a task that runs again makes them again."""
+    return hashlib.shake_128(f"{seed}/{key}".encode()).digest(size)
+
+
 def pads(key: Column, seed: int, size: int) -> Column:
-    """size bytes that look random and depend on key and seed alone, so that a task that runs again makes them again."""
+    """pad() of every row."""
 
     @F.pandas_udf(BinaryType())
     def made(k: pd.Series) -> pd.Series:
-        return k.map(lambda x: np.random.default_rng([seed, *str(x).encode()]).bytes(size))
+        return k.map(lambda x: pad(seed, x, size))
 
     return made(key.cast("string"))
 
@@ -71,37 +82,64 @@ def recycled(descriptor: DataFrame) -> DataFrame:
     return seen.withColumn("draw", F.row_number().over(of_file.orderBy("back", "tuple_no", "pos"))).select("file_id", "draw", "hash")
 
 
+def stored_blocks(files: DataFrame, size: int, tuple_size: int = 3, seed: int = 7) -> DataFrame:
+    """(file_id, tuple_no, pos, data): every block that stands for files (file_id, content). A row makes its own: no shuffle. Null and empty files have none."""
+    kind = dict(files.dtypes)["file_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file_id", "tuple_no", "pos", "data"]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer()
+                content = content.to_pybytes() if content else b""
+                rows: list[tuple[int, int, bytes]] = []
+                for no, at in enumerate(range(0, len(content), size)):
+                    block = content[at : at + size]
+                    block += pad(1, f"{key}/{no}", size)[: size - len(block)]
+                    others = [pad(seed, f"{key}/{no}/{k}", size) for k in range(tuple_size - 1)]
+                    last = np.bitwise_xor.reduce([np.frombuffer(x, np.uint8) for x in (*others, block)]).tobytes()
+                    rows += [(no, k, x) for k, x in enumerate((*others, last))]
+                    if len(rows) * size >= 16 << 20 or at + size >= len(content):
+                        first = pa.array([key] * len(rows), batch.column(0).type)
+                        yield pa.RecordBatch.from_arrays([first, *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True))], names)
+                        rows = []
+
+    return files.select("file_id", F.col("content").cast("binary")).mapInArrow(run, f"file_id {kind}, tuple_no int, pos int, data binary")
+
+
 def encode(files: DataFrame, size: int, tuple_size: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(blocks: hash, data; tuples: file_id, tuple_no, pos, hash) of files (file_id, content)."""
-    origin = blockify(files, size).select("file_id", F.col("no").alias("tuple_no"), padded(F.col("data"), F.concat_ws("/", "file_id", "no"), size).alias("data"))
-    key = F.concat_ws("/", F.col("file_id"), F.col("tuple_no"))
-    parts = [origin.select("file_id", "tuple_no", F.lit(i).alias("pos"), pads(F.concat_ws("/", key, F.lit(i)), seed, size).alias("data")) for i in range(tuple_size - 1)]
-    whole = origin.select("file_id", "tuple_no", F.lit(tuple_size - 1).alias("pos"), "data")
-    everything = whole
-    for p in parts:
-        everything = everything.unionByName(p)
-    last = everything.groupBy("file_id", "tuple_no").agg(xor_all("data").alias("data")).withColumn("pos", F.lit(tuple_size - 1))
-    stored = last.select("file_id", "tuple_no", "pos", "data")
-    for p in parts:
-        stored = stored.unionByName(p)
-    named = stored.withColumn("hash", content_hash(F.col("data")))
-    return named.select("hash", "data").dropDuplicates(["hash"]), named.select("file_id", "tuple_no", "pos", "hash")
-
-
-def decode(tuples: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(file_id, tuple_no, data): the origin blocks; null data where a block of the tuple is missing."""
-    got = tuples.join(blocks, "hash", "left")
-    return got.groupBy("file_id", "tuple_no").agg(xor_all("data").alias("data"))
-
-
-def read_range(decoded: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
-    """(file_id, content): bytes [start, end) of each file. sizes: file_id, start, end. Tuples outside the range are never read."""
-    near = decoded.join(sizes, "file_id").where((F.col("tuple_no") >= F.floor(F.col("start") / size)) & (F.col("tuple_no") * size < F.col("end")))
+    """(blocks: hash, data; tuples: file_id, tuple_no, pos, hash) of files (file_id, content). blocks may hold a block as often as it was made."""
+    named = written(stored_blocks(files, size, tuple_size, seed).withColumn("hash", content_hash(F.col("data"))))
+    return named.select("hash", "data"), named.select("file_id", "tuple_no", "pos", "hash")
+
+
+def decode(tuples: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """(file_id, tuple_no, data): the origin blocks; null data where a block of the tuple is missing. tuples: by, tuple_no, pos, hash."""
+    got = tuples.join(blocks.select("hash", "data"), "hash", "left").repartition(*by, "tuple_no").groupBy(*by, "tuple_no", "pos").agg(F.first("data").alias("data"))  # a block may be stored twice
+    got = got.groupBy(*by, "tuple_no").agg(F.collect_list("data").alias("parts"), F.count("*").alias("n"))
+    return got.select(*by, "tuple_no", F.when(F.size("parts") == F.col("n"), xor_array(F.col("parts"))).alias("data"))
+
+
+def wanted(tuples: DataFrame, ranges: DataFrame, size: int, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """The tuples that hold some of the bytes [start, end) of ranges (by, start, end), with these two."""
+    near = (F.col("tuple_no") >= F.floor(F.col("start") / size)) & (F.col("tuple_no") * size < F.col("end"))
+    return tuples.join(ranges, list(by)).where(near)
+
+
+def joined(decoded: DataFrame, size: int, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """(by, content): bytes [start, end) out of decoded tuples (by, start, end, tuple_no, data); null content where a tuple's data is missing."""
     begin = F.greatest(F.col("start") - F.col("tuple_no") * size, F.lit(0))
     stop = F.least(F.col("end") - F.col("tuple_no") * size, F.lit(size))
-    cut = near.withColumn("part", F.substr("data", (begin + 1).cast("int"), (stop - begin).cast("int")))
-    parts = cut.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("tuple_no", "part"))).alias("parts"))
-    return parts.select("file_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["part"])).alias("content"))
+    cut = decoded.withColumn("part", F.hex(F.substr("data", (begin + 1).cast("int"), (stop - begin).cast("int"))))
+    parts = cut.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("tuple_no", "part"))).alias("parts"), F.count_if(F.col("data").isNull()).alias("lost"))
+    whole = F.unhex(F.array_join(F.transform("parts", lambda p: p["part"]), ""))
+    return parts.select(*by, F.when(F.col("lost") == 0, whole).alias("content"))
+
+
+def read_range(tuples: DataFrame, blocks: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
+    """(file_id, content): bytes [start, end) of each file. ranges: file_id, start, end. Blocks of tuples outside the range are never fetched; an empty range has no row."""
+    by = ("file_id", "start", "end")
+    return joined(decode(wanted(tuples, ranges, size).select(*by, "tuple_no", "pos", "hash"), blocks, by), size, by).select("file_id", "content")
 
 
 def cut_point(size: int) -> int:
@@ -109,19 +147,87 @@ def cut_point(size: int) -> int:
     return size // HASH * HASH
 
 
-def descriptor(tuples: DataFrame, size: int) -> DataFrame:
-    """(file_id, chunk_no, hashes, next): tuple hashes cut into chained chunks; next is the chunk that follows, null for the last one."""
-    fits = (cut_point(size) - HASH) // HASH
-    ordered = tuples.withColumn("at", F.row_number().over(Window.partitionBy("file_id").orderBy("tuple_no", "pos")) - 1)
-    chunks = ordered.groupBy("file_id", F.floor(F.col("at") / fits).cast("int").alias("chunk_no")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]).alias("hashes"))
-    return chunks.withColumn("next", F.lead("chunk_no").over(Window.partitionBy("file_id").orderBy("chunk_no")))
-
-
-def walk(chunks: DataFrame, tuple_size: int) -> DataFrame:
-    """The inverse of descriptor: (file_id, tuple_no, pos, hash)."""
-    flat = chunks.select("file_id", "chunk_no", F.posexplode("hashes").alias("i", "hash"))
-    at = F.row_number().over(Window.partitionBy("file_id").orderBy("chunk_no", "i")) - 1
-    return flat.withColumn("at", at).select("file_id", F.floor(F.col("at") / tuple_size).cast("int").alias("tuple_no"), (F.col("at") % tuple_size).alias("pos"), "hash")
+def described(tuples: DataFrame, size: int, seed: int = 7) -> DataFrame:
+    """(file_id, chunk_no, hash, data): each file's descriptor as blocks. A block holds hashes of the file's tuples in order and, if others follow, the next block's hash at its end; it is filled up with pad.
+
+    A chain is made from its end, so one task makes a file's chain; it holds the file's hashes, not its blocks.
+    """
+    kind = dict(tuples.dtypes)["file_id"]
+    room = cut_point(size) // HASH
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("tuple_no", "ascending"), ("pos", "ascending")])
+        hashes = rows["hash"].to_pylist()
+        starts = [0]
+        while len(hashes) - starts[-1] > room:  # a block that isn't the last gives one place to the next one's hash
+            starts.append(starts[-1] + room - 1)
+        out, after = [], None
+        for no in range(len(starts) - 1, -1, -1):
+            end = starts[no + 1] if no + 1 < len(starts) else len(hashes)
+            held = b"".join(hashes[starts[no] : end]) + (after or b"")
+            data = held + pad(seed, f"{key[0]}/descriptor/{no}", size)[: size - len(held)]
+            after = hashlib.sha256(data).digest()
+            out.append((no, after, data))
+        return pa.table([pa.array([key[0].as_py() if hasattr(key[0], "as_py") else key[0]] * len(out), rows.schema.field("file_id").type), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True))], ["file_id", "chunk_no", "hash", "data"])
+
+    return tuples.groupBy("file_id").applyInArrow(run, f"file_id {kind}, chunk_no int, hash binary, data binary")
+
+
+def followed(heads: DataFrame, blocks: DataFrame, size: int, tuple_size: int = 3, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """(by, tuple_no, pos, hash) out of descriptor chains. heads: by, hash (of the first descriptor block), tuples (how many the file has), first, last (tuples wanted).
+
+    A round fetches one block of every chain and is a written table; a chain ends at the last tuple wanted, and hashes before the first are dropped.
+    A chain whose next block isn't there ends there.
+    """
+    room = cut_point(size) // HASH
+    names = [*by, "tuples", "first", "last"]
+    now = written(heads.where(F.col("last") >= F.col("first")).select(*names, "hash", F.lit(0).cast("long").alias("at")))
+    found = None
+    while not now.isEmpty():
+        left = F.col("tuples") * tuple_size - F.col("at")  # hashes from here on
+        held = F.when(left > room, room - 1).otherwise(left).cast("int")
+        hash_at = lambda i: F.substr(F.col("data"), i * HASH + 1, F.lit(HASH))
+        got = written(now.join(blocks.select("hash", "data"), "hash").dropDuplicates([*by]).withColumn("n", held).select(*names, "at", "n", F.transform(F.sequence(F.lit(0), held - 1), hash_at).alias("hashes"), F.when(left > room, hash_at(F.lit(room - 1))).alias("after")))
+        flat = got.select(*names, "at", F.posexplode("hashes").alias("i", "hash")).withColumn("place", F.col("at") + F.col("i"))
+        flat = flat.withColumn("tuple_no", F.floor(F.col("place") / tuple_size)).where(F.col("tuple_no").between(F.col("first"), F.col("last")))
+        flat = flat.select(*by, F.col("tuple_no").cast("int").alias("tuple_no"), (F.col("place") % tuple_size).cast("int").alias("pos"), "hash")
+        found = flat if found is None else found.unionByName(flat)
+        more = F.col("after").isNotNull() & ((F.col("at") + F.col("n")) <= F.col("last") * tuple_size + tuple_size - 1)
+        now = written(got.where(more).select(*names, F.col("after").alias("hash"), (F.col("at") + F.col("n")).alias("at")))
+    return found if found is not None else now.select(*by, F.lit(0).alias("tuple_no"), F.lit(0).alias("pos"), "hash")
+
+
+def put(files: DataFrame, size: int = SIZES["standard"], tuple_size: int = 3, free: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Stores files (file_id, content): (blocks: hash, data; resources: file_id, outcome, length, file_hash, descriptor_hash).
+
+    A file whose blocks would take more than free bytes is refused ("full"), the others are "stored"; each is judged by itself.
+    An empty or null file has no blocks and no descriptor.
+    """
+    sized = files.select("file_id", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    fits = F.lit(True) if free is None else put_bytes(F.col("length"), tuple_size, size) <= free
+    stored, tuples = encode(sized.where(fits).select("file_id", "content"), size, tuple_size, seed)
+    chain = written(described(tuples, size, seed))
+    names = sized.select("file_id", F.when(fits, "stored").otherwise("full").alias("outcome"), "length", F.when(fits, content_hash(F.col("content"))).alias("file_hash"))
+    heads = chain.where("chunk_no = 0").select("file_id", F.col("hash").alias("descriptor_hash"))
+    return stored.unionByName(chain.select("hash", "data")), names.join(heads, "file_id", "left")
+
+
+def get(requests: DataFrame, blocks: DataFrame, size: int = SIZES["standard"], tuple_size: int = 3) -> DataFrame:
+    """(request, content, intact) of requests (request, length, file_hash, descriptor_hash, start, end): bytes [start, end), end cut to the length.
+
+    Descriptors are followed to the last tuple needed, and only blocks of tuples in the range are fetched. content is null where a block is
+    missing. intact: for whole files, whether the content has the file's hash; null for parts.
+    """
+    asked = requests.select("request", "length", "file_hash", "descriptor_hash", F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), F.least(F.col("end"), F.col("length")).cast("long").alias("end"))
+    asked = written(asked)
+    some = asked.where(F.col("start") < F.col("end"))
+    by = ("request", "start", "end")
+    heads = some.select(*by, F.col("descriptor_hash").alias("hash"), F.ceil(F.col("length") / size).alias("tuples"), F.floor(F.col("start") / size).alias("first"), F.floor((F.col("end") - 1) / size).alias("last"))
+    content = joined(decode(followed(heads, blocks, size, tuple_size, by), blocks, by), size, by)
+    back = asked.join(content.select("request", "content", F.octet_length("content").alias("n")), "request", "left")
+    content = F.when(F.col("start") >= F.col("end"), F.lit(b"")).when(F.col("n") == F.col("end") - F.col("start"), F.col("content"))
+    whole = (F.col("start") == 0) & (F.col("end") == F.col("length"))
+    return back.select("request", content.alias("content"), "file_hash", whole.alias("whole")).select("request", "content", F.when(F.col("whole"), F.coalesce(content_hash(F.col("content")) == F.col("file_hash"), F.lit(False))).alias("intact"))
 
 
 def put_bytes(length: Column, tuple_size: int = 3, size: int = SIZES["standard"]) -> Column:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shared import written
+
 #: Rings, members kept in each, the first ring's width in ms; learning rate, symmetry and feedback factors, weight floor, decay; hops.
 RINGS, PRIMARY, SECONDARY, FIRST_MS = 10, 8, 4, 5.0
 RATE, FEEDBACK, SYMMETRY, FLOOR, DECAY, SLOWEST_MS = 0.1, 0.25, 0.05, 0.01, 0.999, 60_000.0
@@ -27,8 +29,7 @@ def membership(nodes: DataFrame, by: list[str], arrival: list[str]) -> DataFrame
 
 def promoted(members: DataFrame, gone: DataFrame, by: list[str], arrival: list[str], key: str) -> DataFrame:
     """Membership after some members went: the oldest secondaries move up."""
-    left = members.drop("place", "member").join(gone, key, "left_anti")
-    return membership(left, by, arrival)
+    return membership(members.join(gone, key, "left_anti"), by, arrival)
 
 
 def moving_average(values: Column, alpha: float = ALPHA) -> Column:
@@ -43,17 +44,23 @@ def delta(latency_ms: Column, factor: float = 1.0) -> Column:
 
 
 def learned(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """edges (src, dst, weight) after paths (path_id, path array, step): every hop gains step, earlier nodes gain a share for later hops, and hops gain a share backwards. New edges begin at RATE or their gain."""
-    hop = lambda frm, to, f: F.struct(frm.alias("src"), to.alias("dst"), f.alias("share"))
+    """edges (src, dst, weight) after successes (src, seq, path array, step), in the order of seq: src learns about the peers of each path.
+
+    The holder, last of the path, gains step; then the peers from the third on gain FEEDBACK of it each (the holder too); then all
+    but the last gain SYMMETRY of it. A new edge begins at its first gain, or at RATE if that is more; later gains add up.
+    """
+    gain = lambda i, k, f: F.struct(F.get("path", i).alias("dst"), F.lit(k).alias("rule"), i.alias("at"), (F.col("step") * f).alias("gain"))
     n = F.size("path")
-    spans = lambda last: F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    at = lambda i: F.get("path", i)
-    forward = F.transform(spans(n - 2), lambda i: hop(at(i), at(i + 1), F.lit(1.0)))
-    feedback = F.transform(spans(n - 3), lambda i: hop(at(F.lit(0)), at(i + 2), F.lit(FEEDBACK)))
-    back = F.transform(spans(n - 2), lambda i: hop(at(i + 1), at(i), F.lit(SYMMETRY)))
-    gains = paths.select("step", F.explode(F.concat(forward, feedback, back)).alias("e")).groupBy("e.src", "e.dst").agg(F.sum(F.col("step") * F.col("e.share")).alias("gain"))
+    spans = lambda first, last: F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
+    holder = F.transform(F.array(n - 1), lambda i: gain(i, 0, 1.0))
+    feedback = F.transform(spans(2, n - 1), lambda i: gain(i, 1, FEEDBACK))
+    back = F.transform(spans(0, n - 2), lambda i: gain(i, 2, SYMMETRY))
+    each = paths.where(n > 0).select("src", "seq", F.explode(F.concat(holder, feedback, back)).alias("e")).select("src", "seq", "e.*")
+    gains = each.groupBy("src", "dst").agg(F.sum("gain").alias("gain"), F.min_by("gain", F.struct("seq", "rule", "at")).alias("begin"))
     both = edges.join(gains, ["src", "dst"], "full_outer")
-    return both.select("src", "dst", F.greatest(F.when(F.col("weight").isNull(), F.greatest("gain", F.lit(RATE))).otherwise(F.col("weight") + F.coalesce("gain", F.lit(0.0))), F.lit(FLOOR)).alias("weight"))
+    fresh = F.greatest("begin", F.lit(RATE)) + F.col("gain") - F.col("begin")
+    known = F.col("weight") + F.coalesce("gain", F.lit(0.0))
+    return both.select("src", "dst", F.greatest(F.when(F.col("weight").isNull(), fresh).otherwise(known), F.lit(FLOOR)).alias("weight"))
 
 
 def decayed(weight: Column, ticks: Column) -> Column:
@@ -105,12 +112,15 @@ def converged(current: Column, best: Column, num: int, den: int) -> Column:
 
 
 def reach(start: DataFrame, edges: DataFrame, holders: DataFrame, hops: int = HOPS) -> DataFrame:
-    """(query, holder, hops): for each query (query, node, hash) the holders of its hash by the fewest hops, over at most hops of them. Each round joins the frontier with the edges and keeps a node's first visit."""
-    frontier = start.select("query", "node", "hash").distinct()
+    """(query, holder, hops): for each query (query, node, hash) the holders of its hash by the fewest hops, over at most hops of them. Each round joins the frontier, a written table, with the edges and keeps a node's first visit."""
+    links = written(edges.select(F.col("src").alias("node"), "dst").distinct())
+    frontier = written(start.select("query", "node", "hash").distinct())
     visited = frontier.withColumn("hops", F.lit(0))
     for k in range(1, hops + 1):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("query", F.col("dst").alias("node"), "hash").distinct()
-        frontier = step.join(visited.select("query", "node"), ["query", "node"], "left_anti")
+        step = frontier.join(links, "node").select("query", F.col("dst").alias("node"), "hash").distinct()
+        frontier = written(step.join(visited.select("query", "node", "hash"), ["query", "node", "hash"], "left_anti"))
+        if frontier.isEmpty():
+            break
         visited = visited.unionByName(frontier.withColumn("hops", F.lit(k)))
     return visited.join(holders, ["node", "hash"]).select("query", F.col("node").alias("holder"), "hops")
 
@@ -127,8 +137,26 @@ def next_hop(requests: DataFrame, peers: DataFrame, knows: DataFrame) -> DataFra
     return known.select("request", F.col("peer").cast("string").alias("peer"), "outcome").unionByName(lost)
 
 
+def _nearest(ids: np.ndarray, q: np.ndarray, node: np.ndarray, x: np.ndarray, n: int, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """best (rows: query's index, node, distance; at most n a query, by distance and node) after a look at nodes x."""
+    size = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :]
+    near = size - 2 * q @ x.T  # rounded otherwise than the distances that decide
+    slack = 1e-9 * size
+    near[ids[:, None] == node[None, :]] = np.inf
+    reach = np.full(len(ids), np.inf)
+    if near.shape[1] > n:
+        reach = np.partition(near, n - 1, axis=1)[:, n - 1]
+    row, col = np.nonzero((near <= reach[:, None] + 2 * slack) & np.isfinite(near))  # all that tie with the n-th
+    rows = np.r_[best[0], row], np.r_[best[1], node[col]], np.r_[best[2], ((q[row] - x[col]) ** 2).sum(1)]
+    order = np.lexsort((rows[1], rows[2], rows[0]))
+    at = rows[0][order]
+    place = np.arange(len(at)) - np.searchsorted(at, at, "left")
+    kept = order[place < n]
+    return rows[0][kept], rows[1][kept], rows[2][kept]
+
+
 def closest(queries: DataFrame, nodes: DataFrame, n: int, block: int = 20_000) -> DataFrame:
-    """The n nodes (node, vector) nearest to each query (query, vector) by squared distance, itself left out. About block queries at a time go to the nodes, so what tasks hold is bounded; each batch of nodes gives its own best n before the shuffle."""
+    """The n nodes (node, vector) nearest to each query (query, vector) by squared distance, then by node, itself left out. About block queries at a time go to the nodes, so what tasks hold is bounded; each task keeps a running best n of a query."""
     total = queries.count()
     parts = max(1, -(-total // block))
     kept = None
@@ -140,19 +168,13 @@ def closest(queries: DataFrame, nodes: DataFrame, n: int, block: int = 20_000) -
 
         def run(batches, sent=sent):
             ids, q = sent.value
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
-                    node = part.column(0).to_numpy()
-                    x = np.array(part.column(1).to_pylist())
-                    near = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
-                    near[ids[:, None] == node[None, :]] = np.inf
-                    best = np.argsort(near, axis=1, kind="stable")[:, : n + 2]  # two more, as these distances are rounded otherwise
-                    row = np.repeat(np.arange(len(ids)), best.shape[1])
-                    col = best.ravel()
-                    real = np.isfinite(near[row, col])
-                    row, col = row[real], col[real]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(node[col]), pa.array(((q[row] - x[col]) ** 2).sum(1))], ["query", "node", "distance"])
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    best = _nearest(ids, q, part.column(0).to_numpy(), np.array(part.column(1).to_pylist()), n, best)
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query", "node", "distance"])
 
         found = nodes.select("node", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query long, node long, distance double")
         kept = found if kept is None else kept.unionByName(found)
@@ -169,14 +191,18 @@ def gossip_round(members: DataFrame, seed: str) -> DataFrame:
 
 
 def resolve(paths: DataFrame, entries: DataFrame, deepest: int) -> DataFrame:
-    """(path_id, entry): directory entries (dir, name, child, is_dir, ordinal) followed along paths (path_id, root, segments). The first entry of a name wins."""
-    first = entries.withColumn("place", F.row_number().over(Window.partitionBy("dir", "name").orderBy("ordinal"))).where("place = 1").select("dir", "name", "child", "is_dir")
+    """(path_id, entry): directory entries (dir, name, child, is_dir, ordinal) followed along paths (path_id, root, segments). The first entry of a name wins. Each round is a written table."""
+    entry = F.struct("child", "is_dir")
+    first = written(entries.groupBy("dir", "name").agg(F.min_by(entry, "ordinal").alias("e")).select("dir", "name", "e.*"))
     now = paths.select("path_id", F.col("root").alias("dir"), "segments", F.lit(0).alias("at"), F.lit(True).alias("is_dir"))
-    for _ in range(deepest):
-        done = now.where(F.col("at") >= F.size("segments"))
+    done = None
+    for _ in range(deepest + 1):
+        now = written(now)
+        ended = now.where(F.col("at") >= F.size("segments")).select("path_id", F.col("dir").alias("entry"))
+        done = ended if done is None else done.unionByName(ended)
         step = now.where((F.col("at") < F.size("segments")) & F.col("is_dir")).withColumn("name", F.get("segments", F.col("at"))).drop("is_dir")
-        now = done.unionByName(step.join(first, ["dir", "name"]).select("path_id", F.col("child").alias("dir"), "segments", (F.col("at") + 1).alias("at"), "is_dir"))
-    return now.where(F.col("at") >= F.size("segments")).select("path_id", F.col("dir").alias("entry"))
+        now = step.join(first, ["dir", "name"]).select("path_id", F.col("child").alias("dir"), "segments", (F.col("at") + 1).alias("at"), "is_dir")
+    return done
 
 
 def wanted_offers(blocks: DataFrame, wants: DataFrame) -> DataFrame:
@@ -188,3 +214,173 @@ def measured(targets: DataFrame, latencies: DataFrame) -> DataFrame:
     """targets with their last measured latency, 0 where there is none. latencies: target, latency_ms, ts."""
     last = latencies.groupBy("target").agg(F.max_by("latency_ms", "ts").alias("latency_ms"))
     return targets.join(last, "target", "left").withColumn("latency_ms", F.coalesce("latency_ms", F.lit(0.0)))
+
+
+# rings: members are ordered by (ring, place); place is the order of arrival in a ring, primaries before secondaries
+
+
+def closest_in_lowest_ring(members: DataFrame, by: list[str]) -> DataFrame:
+    """The first primary of the lowest ring that has one. members: by, ring, place, member, peer."""
+    return members.where("member = 'primary'").groupBy(*by).agg(F.min_by("peer", F.struct("ring", "place")).alias("peer"))
+
+
+def best_of_rings(members: DataFrame, by: list[str], n: int, exclude: str | None = None) -> DataFrame:
+    """(by, ring, peer, latency_ms): of each ring's primaries but exclude (a column) the one with the lowest latency, first come first, of the first n rings that have one."""
+    open_ = members.where("member = 'primary'")
+    if exclude:
+        open_ = open_.where(~F.col("peer").eqNullSafe(F.col(exclude)))
+    best = open_.groupBy(*by, "ring").agg(F.min_by(F.struct("peer", "latency_ms"), F.struct("latency_ms", "place")).alias("b"))
+    order = Window.partitionBy(*by).orderBy("ring")
+    return best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select(*by, "ring", "b.*")
+
+
+def find_node(members: DataFrame, by: list[str], n: int = 8) -> DataFrame:
+    """The first n primaries by ring and place: what a node answers to a search for nodes, whatever the target."""
+    order = Window.partitionBy(*by).orderBy("ring", "place")
+    return members.where("member = 'primary'").withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n")
+
+
+def inserted(members: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """members after an answer (found: by, peer, latency_ms) was put into the rings: peers that are there stay where they are, new ones come after all others."""
+    base = members.groupBy(*by, "ring").agg(F.max("place").alias("last"))
+    fresh = found.withColumn("ring", ring(F.col("latency_ms"))).join(members.select(*by, "peer"), [*by, "peer"], "left_anti").dropDuplicates([*by, "peer"])
+    fresh = fresh.join(base, [*by, "ring"], "left").withColumn("place", F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy(*by, "ring").orderBy("peer")))
+    names = [*by, "ring", "peer", "latency_ms"]
+    return membership(members.select(*names, "place").unionByName(fresh.select(*names, "place")), [*by, "ring"], ["place"])
+
+
+def ring_topology(members: DataFrame, by: list[str]) -> DataFrame:
+    """Primaries with their ring level and round trip."""
+    return members.where("member = 'primary'").select(*by, "peer", F.col("ring").alias("ring_level"), F.col("latency_ms").alias("rtt_ms"))
+
+
+def totals(members: DataFrame, connections: DataFrame, by: list[str]) -> DataFrame:
+    """(by, nodes, connections, friends): ring members, and connections (by, peer, friend), of which friends."""
+    n = members.groupBy(*by).agg(F.count("*").alias("nodes"))
+    c = connections.groupBy(*by).agg(F.count("*").alias("connections"), F.count_if("friend").alias("friends"))
+    return n.join(c, by, "full_outer").fillna(0, ["nodes", "connections", "friends"])
+
+
+def nearest_probe(probes: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, target): the target with the lowest latency, of equal ones the first probed."""
+    return probes.groupBy(*by).agg(F.min_by("target", F.struct("latency_ms", order)).alias("target"))
+
+
+def by_level(peers: DataFrame, by: list[str]) -> DataFrame:
+    """peers with rank: by the hop level of their filters, then by peer."""
+    return peers.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("level", "peer")))
+
+
+def by_latency(nodes: DataFrame, by: list[str], order: str) -> DataFrame:
+    """nodes with rank: by latency, equal ones as they came."""
+    return nodes.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("latency_ms", order)))
+
+
+#: Fixed value: failures in a row from which a peer gets no block.
+MOST_FAILS = 3
+
+
+def storage_candidates(requests: DataFrame, peers: DataFrame) -> DataFrame:
+    """(request, peer, score): the peers that a block may be sent on to. requests: request, node, path, visited (arrays of peers); peers: node, peer, weight, capacity, latency_ms, availability, rendezvous, phase, fails."""
+    score = storage_score(F.col("weight"), F.col("capacity"), F.col("latency_ms") * 1000, F.col("availability"))
+    open_ = peers.where(~F.col("rendezvous") & (F.col("phase") != "exhale") & (F.col("fails") < MOST_FAILS)).withColumn("score", score).where(F.col("score") >= FLOOR)
+    both = requests.join(open_, "node")
+    return both.where(~F.array_contains("path", F.col("peer")) & ~F.array_contains("visited", F.col("peer"))).select("request", "peer", "score")
+
+
+def store_step(requests: DataFrame, peers: DataFrame, connected: DataFrame, knows: DataFrame, seed: str = "store") -> DataFrame:
+    """(request, outcome, peer): one step of placing a block. requests: request, node, hash, ttl, path, visited, accept (whether the node takes it).
+
+    The node keeps it; else, with hops left, it goes to the first connected peer that follows the hash (connected: node, peer, hash, ordinal), else to the peer
+    whose filter knows the hash at the fewest hops (knows: peer, hash, hops), else to FANOUT candidates by roulette over their scores; else it's declined.
+    """
+    taken = requests.where("accept").select("request", F.lit(None).cast("string").alias("peer"), F.lit("accepted").alias("outcome"))
+    over = requests.where("not accept and ttl <= 0").select("request", F.lit(None).cast("string").alias("peer"), F.lit("max hops").alias("outcome"))
+    open_ = requests.where("not accept and ttl > 0")
+    free = ~F.array_contains("path", F.col("peer")) & ~F.array_contains("visited", F.col("peer"))
+    plain = peers.where(~F.col("rendezvous"))
+    topic = open_.join(connected, ["node", "hash"]).join(plain.select("node", "peer"), ["node", "peer"]).where(free).groupBy("request").agg(F.min_by("peer", "ordinal").alias("peer"))
+    rest = open_.join(topic, "request", "left_anti")
+    fit = plain.where((F.col("phase") != "exhale") & (F.col("fails") < MOST_FAILS))
+    wells = rest.join(fit, "node").join(knows, ["peer", "hash"]).where(free).withColumn("weight", F.greatest("weight", F.lit(FLOOR)))
+    wells = best_well(wells.select("request", "peer", "hops", "weight"), ["request"]).select("request", "peer")
+    rest = rest.join(wells, "request", "left_anti")
+    drawn = roulette(storage_candidates(rest, peers), ["request"], "peer", "score", FANOUT, seed).select("request", "peer")
+    sent = topic.unionByName(wells).unionByName(drawn).select("request", F.col("peer").cast("string").alias("peer"), F.lit("forwarded").alias("outcome"))
+    declined = rest.join(drawn.select("request").distinct(), "request", "left_anti").select("request", F.lit(None).cast("string").alias("peer"), F.lit("declined").alias("outcome"))
+    return taken.unionByName(over).unionByName(sent).unionByName(declined)
+
+
+def closest_step(requests: DataFrame, peers: DataFrame, latencies: DataFrame, knows: DataFrame, num: int = 1, den: int = 2) -> DataFrame:
+    """(request, outcome, peer): one step of a search for a node (request, node, target, best_ms, ttl, path). Found where the node is the target, or where its measured latency to it
+    (latencies: node, target, latency_ms) is converged against the best so far; expired without hops; else on to the peer whose filter knows the target at the fewest hops, else to the FANOUT with the lowest latency."""
+    near = requests.join(latencies, ["node", "target"], "left")
+    found = (F.col("node") == F.col("target")) | ((F.col("latency_ms") > 0) & converged(F.col("latency_ms"), F.col("best_ms"), num, den))
+    judged = near.withColumn("outcome", F.when(F.coalesce(found, F.lit(False)), "found").when(F.col("ttl") <= 0, "expired").otherwise("open"))
+    ended = judged.where("outcome <> 'open'").select("request", F.lit(None).cast("string").alias("peer"), "outcome")
+    open_ = judged.where("outcome = 'open'").select("request", "node", "target", "path")
+    free = open_.join(peers.where(~F.col("rendezvous") & (F.col("weight") >= FLOOR)), "node").where(~F.array_contains("path", F.col("peer")))
+    wells = best_well(free.join(knows.withColumnRenamed("hash", "target"), ["peer", "target"]).select("request", "peer", "hops", "weight"), ["request"]).select("request", "peer")
+    w = Window.partitionBy("request").orderBy("latency_ms", "peer")
+    walk = free.join(wells, "request", "left_anti").withColumn("n", F.row_number().over(w)).where(F.col("n") <= FANOUT).select("request", "peer")
+    sent = wells.unionByName(walk).select("request", F.col("peer").cast("string").alias("peer"), F.lit("forwarded").alias("outcome"))
+    lost = open_.join(sent, "request", "left_anti").select("request", F.lit(None).cast("string").alias("peer"), F.lit("not found").alias("outcome"))
+    return ended.unionByName(sent).unionByName(lost)
+
+
+def answers_merged(latencies: DataFrame, answers: DataFrame) -> DataFrame:
+    """latencies (target, latency_ms, ts) with the samples of answers (target, latency_ms, ts): the last one counts, a latency of 0 says nothing."""
+    last = latencies.unionByName(answers.where("latency_ms > 0")).groupBy("target").agg(F.max_by(F.struct("latency_ms", "ts"), "ts").alias("x"))
+    return last.select("target", "x.*")
+
+
+def pending_kept(pending: DataFrame, by: list[str], room: int = 32) -> DataFrame:
+    """pending searches (by, message) with state: the room newest message ids stay open, those below are given up."""
+    w = Window.partitionBy(*by).orderBy(F.desc("message"))
+    return pending.withColumn("state", F.when(F.row_number().over(w) <= room, "open").otherwise("not found"))
+
+
+def ranked_forward(requests: DataFrame, peers: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(request, peer): a block's rank goes to the first FANOUT peers (by ordinal) that aren't in visited, while its hops are below the limit."""
+    free = requests.where(F.col("hop") < hops).join(peers, "node").where(~F.array_contains("visited", F.col("peer")))
+    w = Window.partitionBy("request").orderBy("ordinal", "peer")
+    return free.withColumn("n", F.row_number().over(w)).where(F.col("n") <= FANOUT).select("request", "peer")
+
+
+def recalled(followers: DataFrame, declined: DataFrame) -> DataFrame:
+    """followers (peer, hash) after a recall: those that declined (peer, hash) don't follow any more."""
+    return followers.join(declined, ["peer", "hash"], "left_anti")
+
+
+def pinged(nodes: DataFrame, answers: DataFrame) -> DataFrame:
+    """nodes (peer, latency_ms, capacity, phase, availability, fails) after answers to pings (peer, ts, rtt_ms, capacity, phase, availability; rtt_ms null: none came).
+
+    The round trips move the average in order; the last known capacity, phase and availability hold; fails count those without an answer since the last one.
+    """
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "rtt_ms"))), lambda x: x["rtt_ms"])
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"new_{c}")
+    seen = answers.groupBy("peer").agg(ordered.alias("rtts"), last("capacity"), last("phase"), last("availability"))
+    came = F.filter("rtts", lambda x: x.isNotNull())
+    since = F.size("rtts") - F.coalesce(F.array_max(F.transform("rtts", lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
+    both = nodes.join(seen, "peer", "left")
+    begin = F.when(F.col("latency_ms") > 0, F.array(F.col("latency_ms").cast("double"))).otherwise(F.array().cast("array<double>"))
+    latency = F.coalesce(moving_average(F.concat(begin, came.cast("array<double>"))), F.col("latency_ms"))
+    fails = F.when(F.size(came) > 0, since).otherwise(F.col("fails") + F.size("rtts"))
+    new = [F.coalesce(f"new_{c}", c).alias(c) for c in ("capacity", "phase", "availability")]
+    return both.select("peer", F.when(F.col("rtts").isNull(), F.col("latency_ms")).otherwise(latency).alias("latency_ms"), *new, F.when(F.col("rtts").isNull(), F.col("fails")).otherwise(fails).cast("int").alias("fails"))
+
+
+def gossip_exchange(members: DataFrame, seed: str, by: str = "node") -> DataFrame:
+    """(node, peer, ring): what each node knows after one round of push and pull: its members and those of the partners drawn for it, and of those that drew it. Itself left out."""
+    drawn = gossip_round(members, seed).select("node", F.col("peer").alias("partner")).distinct()
+    both = drawn.unionByName(drawn.select(F.col("partner").alias("node"), F.col("node").alias("partner"))).distinct()
+    learnt = both.join(members.select(F.col("node").alias("partner"), "peer"), "partner").select("node", "peer")
+    known = members.select("node", "peer").unionByName(learnt).unionByName(both.select("node", F.col("partner").alias("peer")))
+    return known.where("node <> peer").distinct()
+
+
+def found_locally(requests: DataFrame, index: DataFrame) -> DataFrame:
+    """(hash, requesters, outcome): requests (hash, requester) gathered by hash; "local" where the index has it, else "route", once for all that wait."""
+    asked = requests.groupBy("hash").agg(F.sort_array(F.collect_set("requester")).alias("requesters"))
+    here = index.select("hash").distinct().withColumn("here", F.lit(True))
+    return asked.join(here, "hash", "left").select("hash", "requesters", F.when(F.col("here"), "local").otherwise("route").alias("outcome"))

@@ -34,9 +34,17 @@ def token_bucket(requests: DataFrame, by: list[str], ts: str, order: list[str],
     return folded(requests.select(*names), by, order, start, step, ", ".join(f"{n} {kinds[n]}" for n in names) + ", accepted boolean, tokens double")
 
 
+def few_peers(peers: Column) -> Column:
+    """What the greatest rate and the burst are multiplied with: a node with few peers may ask each of them more often."""
+    return F.when((peers > 0) & (peers < FEW_PEERS), F.lit(float(FEW_PEERS)) / peers * BOOST).otherwise(1.0)
+
+
 def effective_rate(rate: Column, peers: Column) -> Column:
-    """A node with few peers may ask each of them more often."""
-    return F.when((peers > 0) & (peers < FEW_PEERS), rate * (F.lit(float(FEW_PEERS)) / peers) * BOOST).otherwise(rate)
+    return rate * few_peers(peers)
+
+
+def effective_burst(burst: Column, peers: Column) -> Column:
+    return burst * few_peers(peers)
 
 
 def retry_after_ms(tokens: Column, cost: Column, rate: Column) -> Column:
@@ -89,6 +97,68 @@ def swept(waiting: DataFrame, now: Column) -> DataFrame:
     return waiting.withColumn("expired", (F.col("deadline_ms") != 0) & (F.col("deadline_ms") <= now))
 
 
+def expired_queries(queries: DataFrame, now: Column) -> DataFrame:
+    """queries whose time is over: strictly later than start_ms + timeout_ms."""
+    return queries.where(now > F.col("start_ms") + F.col("timeout_ms"))
+
+
+def fifo_kept(inserts: DataFrame, by: list[str], key: str, order: str, room: int) -> DataFrame:
+    """The entries of a table of room places after inserts, each key with its last row; the first inserted goes first, and an update doesn't move a key back.
+
+    A key that was evicted and comes again begins anew: whether it was is known from the number of new keys between, so
+    stays are found from one insertion to the next, in a fold of a bounded table.
+    """
+    from collections import OrderedDict
+
+    kinds = dict(inserts.dtypes)
+    rest = [c for c in inserts.columns if c not in (*by, key, order)]
+    names = [*by, key, order, *rest]
+
+    def step(table, row):
+        gone = None
+        if row[key] not in table and len(table) >= room:
+            gone = table.popitem(last=False)[0]
+        table.setdefault(row[key], None)
+        return table, (*(row[n] for n in names), gone)
+
+    said = folded(inserts.select(*names), by, [order, key], lambda _: OrderedDict(), step, ", ".join(f"{n} {kinds[n]}" for n in names) + f", gone {kinds[key]}")
+    last = said.groupBy(*by, key).agg(F.max_by(F.struct(order, *rest), order).alias("last"))
+    out = said.where("gone is not null").groupBy(*by, F.col("gone").alias(key)).agg(F.max(order).alias("went"))
+    both = last.join(out, [*by, key], "left")
+    return both.where(F.col("went").isNull() | (F.col(f"last.{order}") > F.col("went"))).select(*by, key, "last.*")
+
+
+def refill_evictions(buckets: DataFrame, by: list[str], room: int) -> DataFrame:
+    """Of each table the room buckets refilled last (refill_ms; of equal ones those that came later, by ordinal): the others make room."""
+    w = Window.partitionBy(*by).orderBy(F.desc("refill_ms"), F.desc("ordinal"))
+    return buckets.withColumn("place", F.row_number().over(w)).where(F.col("place") <= room).drop("place")
+
+
+def backed_off(buckets: DataFrame, signals: DataFrame) -> DataFrame:
+    """buckets (peer, kind, tokens) after back-off signals (peer, wire): the kind that a wire type means has no tokens left."""
+    hit = signals.select("peer", kind_of_wire(F.col("wire")).alias("kind")).where("kind is not null").distinct().withColumn("hit", F.lit(True))
+    return buckets.join(hit, ["peer", "kind"], "left").withColumn("tokens", F.when(F.col("hit"), 0.0).otherwise(F.col("tokens"))).drop("hit")
+
+
+def resolved_gets(pending: DataFrame, completed: DataFrame) -> DataFrame:
+    """(waiter, data): all that wait for a slot (pending: section_id, slot, waiter) get what was read from it."""
+    return pending.join(completed, ["section_id", "slot"]).select("waiter", "data")
+
+
+def answered(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """requests (message, sent_ms) with rtt_ms: their first response (message, got_ms) by message id, null without one."""
+    first = responses.groupBy("message").agg(F.min("got_ms").alias("got_ms"))
+    return requests.join(first, "message", "left").withColumn("rtt_ms", F.col("got_ms") - F.col("sent_ms")).drop("got_ms")
+
+
+def ticks(start: Column, end: Column, quick_s: int, quick_count: int, steady_s: int) -> Column:
+    """The times of a gossip schedule: quick_count quick intervals, then steady ones, up to end."""
+    quick = F.transform(F.sequence(F.lit(1), F.lit(quick_count)), lambda i: start + i * quick_s)
+    n = F.greatest(F.floor((end - start - quick_s * quick_count) / steady_s), F.lit(0)).cast("int")
+    steady = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: start + quick_s * quick_count + i * steady_s)).otherwise(F.array().cast("array<long>"))
+    return F.filter(F.concat(quick.cast("array<long>"), steady.cast("array<long>")), lambda t: t <= end)
+
+
 def sliding_sessions(log: DataFrame, by: list[str], ts: str, ttl_s: float) -> DataFrame:
     """(by, first, last, reads) of each stay in a cache whose time to live begins anew with each read."""
     w = Window.partitionBy(*by).orderBy(ts)
@@ -115,7 +185,7 @@ def coalesced(requests: DataFrame) -> DataFrame:
     return requests.groupBy("hash").agg(F.sort_array(F.collect_set("requester")).alias("waiting"), F.min("deadline_ms").alias("deadline_ms"))
 
 
-#: Configuration: column expressions that must hold, with what to say if they don't.
+#: Fixed values (field names): configuration rules, column expressions that must hold, with what to say if they don't.
 RULES = {
     "index_bucket_size > 0": "index_bucket_size must be positive", "index_wait > 0": "index_wait must be positive", "index_max_wait >= index_wait": "index_max_wait is below index_wait",
     "section_size > 0": "section_size must be positive", "section_cache_count > 0": "section_cache_count must be positive", "section_wait > 0": "section_wait must be positive", "section_max_wait >= section_wait": "section_max_wait is below section_wait",
@@ -143,4 +213,4 @@ def staged(changes: DataFrame, fields: DataFrame) -> DataFrame:
     fits = F.lit(False)
     for kind, pattern in typed.items():
         fits = fits | ((F.col("type") == kind) & F.col("value").rlike(pattern))
-    return changes.join(F.broadcast(fields), "field", "left").withColumn("reason", F.when(F.col("type").isNull(), "unknown field").when(~fits, "wrong type")).drop("type")
+    return changes.join(fields, "field", "left").withColumn("reason", F.when(F.col("type").isNull(), "unknown field").when(~fits, "wrong type")).drop("type")

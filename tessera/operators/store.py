@@ -68,8 +68,8 @@ def log_check(payload: Column) -> Column:
     return F.crc32(payload)
 
 
-def sections(rows: DataFrame, order: list[str], n: int, slots: int) -> DataFrame:
-    """Places rows into n sections in turn: section_id, slot. A section that is full makes room for a new one with the next id, so every row has a slot. Rows are numbered by counted range parts, so no task ranks all rows."""
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with turn: their place in the order, from 0. Rows are numbered by counted range parts, so no task ranks all rows."""
     parts = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     before, at = [], 0
     for part, count in sorted(map(tuple, parts.groupBy("part").count().collect())):  # a row for each part
@@ -77,7 +77,12 @@ def sections(rows: DataFrame, order: list[str], n: int, slots: int) -> DataFrame
         at += count
     offsets = rows.sparkSession.createDataFrame(before, "part int, before long")
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    placed = parts.withColumn("turn", place).join(F.broadcast(offsets), "part").withColumn("turn", F.col("turn") + F.col("before")).drop("part", "before")
+    return parts.withColumn("turn", place).join(F.broadcast(offsets), "part").withColumn("turn", F.col("turn") + F.col("before")).drop("part", "before")
+
+
+def sections(rows: DataFrame, order: list[str], n: int, slots: int, used: int = 0) -> DataFrame:
+    """Places rows into n sections in turn: section_id, slot, after used places that are taken. Sections that are full make room for new ones with the next ids, so every row has a slot."""
+    placed = numbered(rows, order).withColumn("turn", F.col("turn") + used)
     section = F.floor(F.col("turn") / (n * slots)) * n + F.pmod("turn", F.lit(n))  # n sections that begin together are full together
     return placed.withColumn("section_id", section.cast("int")).withColumn("slot", F.floor(F.pmod("turn", F.lit(n * slots)) / n).cast("int")).drop("turn")
 
@@ -126,3 +131,53 @@ def lru_hits(accesses: DataFrame, by: str, key: str, order: str, room: int) -> D
         return cache, (row[by], row[key], row[order], hit)
 
     return folded(accesses.select(by, key, order), [by], [order, key], start, step, f"{by} {kinds[by]}, {key} {kinds[key]}, {order} {kinds[order]}, hit boolean")
+
+
+def compared(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: two hit counters (struct of fib, count) by level, then by count."""
+    key = lambda x: F.struct(x["fib"], x["count"])
+    return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+
+
+def ordered_checksum(index: DataFrame, order: list[str], *columns: str) -> DataFrame:
+    """A checksum of the rows in their order. Each row's hash is weighted by its place, and places are counted by range parts, so no task sees all rows."""
+    placed = numbered(index.select(*order, *(c for c in columns if c not in order)), order)
+    mixed = F.xxhash64(F.xxhash64(*columns), F.col("turn"))
+    return placed.agg(F.bit_xor(mixed).alias("checksum"), F.count("*").alias("entries"))
+
+
+def slots_after(slots: DataFrame, writes: DataFrame, freed: DataFrame) -> DataFrame:
+    """slots (section_id, slot, is_free, data) after writes (section_id, slot, data) and after freed ones (section_id, slot)."""
+    key = ["section_id", "slot"]
+    both = slots.join(writes.select(*key, F.col("data").alias("new"), F.lit(True).alias("put")), key, "full_outer").join(freed.select(*key, F.lit(True).alias("gone")), key, "left")
+    data = F.when(F.col("gone"), None).when(F.col("put"), F.col("new")).otherwise(F.col("data"))
+    free = F.when(F.col("gone"), True).when(F.col("put"), False).otherwise(F.col("is_free"))
+    return both.select(*key, free.alias("is_free"), data.alias("data"))
+
+
+def cache_put(index: DataFrame, slots: DataFrame, blocks: DataFrame, n: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(index, slots) after blocks (hash, data) were put: a hash that's there gets a hit, a new one the next free slot, in turn over n sections of size slots.
+
+    index: hash, section_id, slot, hits. New blocks take places after the highest used ones.
+    """
+    fresh = written(blocks.join(index, "hash", "left_anti").dropDuplicates(["hash"]))
+    hits = blocks.groupBy("hash").agg(F.count("*").alias("more"))
+    known = index.join(hits, "hash", "left").select("hash", "section_id", "slot", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"))
+    used = index.agg(F.coalesce(F.max(F.floor(F.col("section_id") / n) * size + F.col("slot") + 1), F.lit(0))).first()[0]
+    placed = sections(fresh.select("hash"), ["hash"], n, size, int(used) * n)
+    entries = placed.join(hits, "hash").select("hash", "section_id", "slot", F.col("more").alias("hits"))
+    data = fresh.join(entries, "hash").select("section_id", "slot", F.lit(False).alias("is_free"), "data")
+    return known.unionByName(entries.select(*known.columns)), slots.unionByName(data)
+
+
+def cache_get(index: DataFrame, slots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(hash, data) of the wanted hashes; null data where a hash or its slot isn't there."""
+    held = slots.where(~F.col("is_free")).select("section_id", "slot", "data")
+    return wanted.select("hash").distinct().join(index, "hash", "left").join(held, ["section_id", "slot"], "left").select("hash", "data")
+
+
+def cache_remove(index: DataFrame, slots: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, slots) without the hashes in gone; their slots are free."""
+    freed = index.join(gone.select("hash").distinct(), "hash", "left_semi").select("section_id", "slot")
+    left = index.join(gone.select("hash"), "hash", "left_anti")
+    return left, slots_after(slots, slots.limit(0).select("section_id", "slot", "data"), freed)

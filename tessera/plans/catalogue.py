@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import bytes_, codecs
+from tessera.functions import bytes_, cbor, codecs
 from tessera.operators import blocks, graph, policy, sketch, store, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,12 +74,29 @@ def blocks_not_stored(t):
     return found.join(found.where("doc_id % 2 = 0").select("hash"), "hash", "left_anti").select("hash").distinct()
 
 
-@query(r"""SELECT doc_id, hex(encode(substr(text, 101, 60))) AS part FROM documents""")
-def range_read(t):
-    """Characters 100 to 160 through block-wise reads, as hex."""
-    docs = t("documents")
-    cut = F.transform(F.sequence(F.lit(100 // B), F.lit(159 // B)), lambda i: F.substr(F.col("text"), i * B + 1, F.lit(B)))
-    return docs.select("doc_id", F.hex(F.encode(F.substr(F.array_join(cut, ""), F.lit(100 % B + 1), F.lit(60)), "UTF-8")).alias("part"))
+def _files(t):
+    return t("documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
+
+
+@query("""WITH d AS (SELECT doc_id, strlen(text) AS n, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, CASE WHEN n > 2900 THEN substr(h, 5801, 2 * (least(5100, n) - 2900)) ELSE '' END AS part FROM d""")
+def range_get(t):
+    """Bytes 2900 to 5100 of every document, through a descriptor in chained blocks of 512 bytes: only blocks of the range are fetched."""
+    stored, resources = blocks.put(_files(t), 512)
+    asked = resources.withColumnRenamed("file_id", "request").withColumn("start", F.lit(2900)).withColumn("end", F.lit(5100))
+    return blocks.get(asked, stored, 512).select(F.col("request").alias("doc_id"), F.hex("content").alias("part"))
+
+
+@query("""SELECT doc_id, CASE WHEN n <= 40000 THEN 'stored' ELSE 'full' END AS outcome, n AS length, CASE WHEN n <= 40000 THEN sha256(text) END AS content, CASE WHEN n <= 40000 THEN true END AS intact
+FROM (SELECT doc_id, text, CAST(strlen(text) AS BIGINT) AS n FROM documents)""")
+def put_get_roundtrip(t):
+    """Documents are stored, unless their blocks take more than 124,000 bytes, and got again by their resource URLs."""
+    stored, resources = blocks.put(_files(t), 4000, 3, free=124_000)
+    url = codecs.resource_url(F.lit("http://host"), F.lit("text/plain"), F.col("length"), F.col("file_hash"), F.col("descriptor_hash"), F.concat(F.lit("d"), F.col("file_id").cast("string")), PREFIX)
+    asked = resources.where("outcome = 'stored'").select("file_id", codecs.parse_resource_url(url, PREFIX).alias("u"))
+    asked = asked.select(F.col("file_id").alias("request"), "u.length", "u.file_hash", "u.descriptor_hash", F.lit(0).alias("start"), F.col("u.length").alias("end"))
+    back = blocks.get(asked, stored, 4000).select(F.col("request").alias("file_id"), F.sha2("content", 256).alias("content"), "intact")
+    return resources.join(back, "file_id", "left").select(F.col("file_id").alias("doc_id"), "outcome", "length", "content", "intact")
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)
@@ -92,20 +109,21 @@ def xor_encode_lanes(t):
 @query("SELECT doc_id, sha256(text) AS content FROM documents")
 def xor_roundtrip(t):
     """Every document is encoded with pads, stored, decoded and read back: its bytes must be what they were."""
-    files = t("documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
+    files = _files(t)
     stored, tuples = blocks.encode(files, 4096, 3)
     sizes = files.select("file_id", F.lit(0).alias("start"), F.octet_length("content").alias("end"))
-    back = blocks.read_range(blocks.decode(tuples, stored), sizes, 4096)
-    return back.select(F.col("file_id").alias("doc_id"), F.sha2("content", 256).alias("content"))
+    return blocks.read_range(tuples, stored, sizes, 4096).select(F.col("file_id").alias("doc_id"), F.sha2("content", 256).alias("content"))
 
 
-@query("""SELECT doc_id, CAST(ceil(strlen(text) / 136.0) AS BIGINT) AS tuples, CAST(ceil(ceil(strlen(text) / 136.0) * 3 / 3) AS BIGINT) AS chunks FROM documents WHERE strlen(text) > 0""")
+@query("""WITH h AS (SELECT doc_id, CAST(ceil(strlen(text) / 136.0) AS BIGINT) AS tuples FROM documents WHERE strlen(text) > 0)
+SELECT doc_id, tuples, CASE WHEN tuples * 3 <= 4 THEN 1 ELSE 1 + CAST(ceil((tuples * 3 - 4) / 3.0) AS BIGINT) END AS chunks FROM h""")
 def descriptor_layout(t):
-    """For the smallest block size and tuples of 3: tuples, and descriptor chunks of 3 hashes each."""
-    docs = t("documents").where("text <> ''").select("doc_id", F.octet_length("text").alias("n"))
-    size, fits = blocks.SIZES["nano"], (blocks.cut_point(blocks.SIZES["nano"]) - blocks.HASH) // blocks.HASH
-    tuples = F.ceil(F.col("n") / size)
-    return docs.select("doc_id", tuples.cast("long").alias("tuples"), F.ceil(tuples * 3 / fits).cast("long").alias("chunks"))
+    """For the smallest block size and tuples of 3: each document's tuples and descriptor blocks."""
+    size = blocks.SIZES["nano"]
+    _, tuples = blocks.encode(_files(t), size)
+    n = tuples.groupBy("file_id").agg(F.countDistinct("tuple_no").alias("tuples"))
+    chunks = blocks.described(tuples, size).groupBy("file_id").agg(F.count("*").alias("chunks"))
+    return n.join(chunks, "file_id").select(F.col("file_id").alias("doc_id"), "tuples", "chunks")
 
 
 @query("""SELECT page_id, CASE WHEN strlen(html) = 0 THEN 0 ELSE CAST((ceil(strlen(html) * 400 / 128000.0) * 3 + ceil(ceil(strlen(html) * 400 / 128000.0) * 96 / 127968.0)) * 128000 AS BIGINT) END AS bytes FROM pages""")
@@ -172,13 +190,17 @@ def defrag_relocation(t):
     return store.defragment(_slots(t))
 
 
-@query()
+@query("""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS turn FROM orders)
+SELECT o_orderkey, CAST(turn // 3200 * 16 + turn % 16 AS INTEGER) AS section_id, CAST(turn % 3200 // 16 AS INTEGER) AS slot FROM p""")
 def section_round_robin(t):
+    """Orders placed in turn into 16 sections of 200 slots, and into the next 16 when these are full."""
     return store.sections(t("orders").select("o_orderkey"), ["o_orderkey"], 16, 200)
 
 
-@query()
+@query("""WITH a AS (SELECT event_type, user_id, event_id, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS before FROM events)
+SELECT event_type, user_id, event_id, before IS NOT NULL AND (SELECT count(DISTINCT b.user_id) FROM events b WHERE b.event_type = a.event_type AND b.event_id > a.before AND b.event_id < a.event_id) < 30 AS hit FROM a""")
 def lru_cache_sim(t):
+    """A hit: fewer than 30 other keys came since the key's last access."""
     return store.lru_hits(t("events").select("event_type", "user_id", "event_id"), "event_type", "user_id", "event_id", 30)
 
 
@@ -218,14 +240,18 @@ def hebbian_decay(t):
     return t("supplier").select(F.col("s_suppkey").alias("supp"), r6(graph.decayed(F.abs("s_acctbal") / 10000, F.col("s_suppkey") % 50)).alias("weight"))
 
 
-@query("""WITH p AS (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS path FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
-e AS (SELECT path[i] AS src, path[i + 1] AS dst, 0.01 AS gain FROM p, unnest(range(1, len(path))) u(i) UNION ALL SELECT path[1], path[i + 2], 0.0025 FROM p, unnest(range(1, len(path) - 1)) u(i) UNION ALL SELECT path[i + 1], path[i], 0.0005 FROM p, unnest(range(1, len(path))) u(i))
-SELECT src, dst, round(greatest(CAST(sum(CAST(gain AS DOUBLE)) AS DOUBLE), 0.1), 6) AS weight FROM e GROUP BY 1, 2""")
+@query("""WITH p AS (SELECT o_custkey AS src, o_orderkey AS seq, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+g AS (SELECT src, seq, 0 AS rule, 0 AS place, path[len(path)] AS dst, CAST(0.01 AS DOUBLE) AS gain FROM p
+UNION ALL SELECT src, seq, 1, i, path[i], CAST(0.0025 AS DOUBLE) FROM p, unnest(range(3, len(path) + 1)) u(i)
+UNION ALL SELECT src, seq, 2, i, path[i], CAST(0.0005 AS DOUBLE) FROM p, unnest(range(1, len(path))) u(i)),
+b AS (SELECT src, dst, sum(gain) AS total, arg_min(gain, seq * 100000 + rule * 10000 + place) AS first FROM g GROUP BY 1, 2)
+SELECT src, dst, round(greatest(first, 0.1) + total - first, 6) AS weight FROM b""")
 def hebbian_path_update(t):
-    """Suppliers of an order as a path; edges are new, so they begin at the learning rate at least."""
+    """Each customer learns about the suppliers on the paths of its orders, in the orders' sequence; all edges are new."""
     path = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"])
-    paths = t("lineitem").where("l_linenumber <= 3").groupBy("l_orderkey").agg(path.alias("path")).withColumn("step", F.lit(0.01))
-    edges = paths.limit(0).select(F.get("path", F.lit(0)).alias("src"), F.get("path", F.lit(0)).alias("dst"), F.col("step").alias("weight"))
+    items = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    paths = items.groupBy(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("seq")).agg(path.alias("path")).withColumn("step", F.lit(0.01))
+    edges = paths.limit(0).select("src", F.get("path", F.lit(0)).alias("dst"), F.col("step").alias("weight"))
     return graph.learned(paths, edges).withColumn("weight", r6("weight"))
 
 
@@ -257,10 +283,14 @@ def gauge_last(t):
     return t("events").groupBy("event_type").agg(last).select("event_type", "x.event_id", "x.value")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS n FROM events),
+f(user_id, event_id, seconds, n, accepted, tokens) AS (SELECT user_id, event_id, seconds, n, true, CAST(2.0 AS DOUBLE) FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_id, e.seconds, e.n, least(3.0, f.tokens + 0.0001::DOUBLE * greatest(0.0, e.seconds - f.seconds)) >= 1.0, least(3.0, f.tokens + 0.0001::DOUBLE * greatest(0.0, e.seconds - f.seconds)) - CASE WHEN least(3.0, f.tokens + 0.0001::DOUBLE * greatest(0.0, e.seconds - f.seconds)) >= 1.0 THEN 1.0 ELSE 0.0 END
+FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, seconds, event_id, accepted, round(tokens, 6) AS tokens FROM f""")
 def token_bucket(t):
-    seconds = t("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).select("user_id", "event_id", (F.col("us") / 1e6).alias("at"))
-    return policy.token_bucket(seconds, ["user_id"], "at", ["at", "event_id"], 0.0001, 3.0, 1.0)
+    rows = t("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).select("user_id", "event_id", (F.col("us") / 1e6).alias("seconds"))
+    return policy.token_bucket(rows, ["user_id"], "seconds", ["seconds", "event_id"], 0.0001, 3.0, 1.0).withColumn("tokens", r6("tokens"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
@@ -356,16 +386,16 @@ def closest_n(t):
 EDGES = "e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
 
 
-@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT s_suppkey AS query, s_suppkey AS node, 0 AS hops FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT f.query, e.dst, f.hops + 1 FROM f JOIN e ON f.node = e.src WHERE f.hops < 3)
+@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT s_suppkey AS query, s_suppkey AS node, 0 AS hops FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT f.query, e.dst, f.hops + 1 FROM f JOIN e ON f.node = e.src WHERE f.hops < 6)
 SELECT query, node AS holder, min(hops) AS hops FROM f WHERE node % 3 = 0 GROUP BY query, node""")
 def findblock_bfs(t):
-    """Holders (every third supplier) of a block that each query looks for (every supplier whose id is divisible by 20), over at most 3 hops."""
+    """Holders (every third supplier) of a block that each query looks for (every supplier whose id is divisible by 20), over at most 6 hops."""
     item = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     after = item.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("dst"))
     edges = item.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_suppkey").alias("src"), "dst").distinct()
     nodes = t("supplier").select(F.col("s_suppkey").alias("node"))
     start = nodes.where("node % 20 = 0").select(F.col("node").alias("query"), "node", F.lit("h").alias("hash"))
-    return graph.reach(start, edges, nodes.where("node % 3 = 0").withColumn("hash", F.lit("h")), 3)
+    return graph.reach(start, edges, nodes.where("node % 3 = 0").withColumn("hash", F.lit("h")))
 
 
 @query("SELECT c_custkey AS path_id, 'c' || c_custkey AS entry FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -432,10 +462,185 @@ def request_coalescing(t):
     return policy.coalesced(rows)
 
 
-@query("SELECT user_id, event_type, n, round(CASE WHEN n > 0 AND n < 32 THEN 50.0 * (32.0 / n) * 3 ELSE 50.0 END, 6) AS rate FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
+@query("""SELECT user_id, event_type, n, round(50.0 * m, 6) AS rate, round(20.0 * m, 6) AS burst FROM (SELECT *, CASE WHEN n > 0 AND n < 32 THEN 32.0 / n * 3 ELSE 1.0 END AS m FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2))""")
 def effective_rate(t):
     n = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return n.select("user_id", "event_type", "n", r6(policy.effective_rate(F.lit(50.0), F.col("n"))).alias("rate"))
+    return n.select("user_id", "event_type", "n", r6(policy.effective_rate(F.lit(50.0), F.col("n"))).alias("rate"), r6(policy.effective_burst(F.lit(20.0), F.col("n"))).alias("burst"))
+
+
+MEMBERS = f"""r AS (SELECT user_id AS node, event_id AS peer, value AS latency_ms, {RING} AS ring FROM events),
+m AS (SELECT *, CASE WHEN place <= 8 THEN 'primary' ELSE 'secondary' END AS member FROM (SELECT *, row_number() OVER (PARTITION BY node, ring ORDER BY peer) AS place FROM r) WHERE place <= 12)"""
+
+
+def _members(t):
+    rows = t("events").select(F.col("user_id").alias("node"), F.col("event_id").alias("peer"), F.col("value").alias("latency_ms"), graph.ring(F.col("value")).alias("ring"))
+    return graph.membership(rows, ["node", "ring"], ["peer"])
+
+
+@query(f"WITH {MEMBERS} SELECT node, arg_min(peer, ring * 100 + place) AS peer FROM m WHERE member = 'primary' GROUP BY node")
+def ring_closest(t):
+    return graph.closest_in_lowest_ring(_members(t), ["node"])
+
+
+@query(f"""WITH {MEMBERS}, b AS (SELECT *, row_number() OVER (PARTITION BY node, ring ORDER BY latency_ms, place) AS k FROM m WHERE member = 'primary' AND peer % 10 <> 3)
+SELECT node, ring, peer, round(latency_ms, 6) AS latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ring) AS n FROM b WHERE k = 1) WHERE n <= 4""")
+def ring_samples(t):
+    """Each ring's primary with the lowest latency, of the first four rings; every tenth peer is excluded."""
+    members = _members(t).withColumn("not_this", F.when(F.col("peer") % 10 == 3, F.col("peer")))
+    return graph.best_of_rings(members, ["node"], 4, "not_this").withColumn("latency_ms", r6("latency_ms"))
+
+
+@query(f"""WITH {MEMBERS} SELECT node, peer, ring FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ring, place) AS n FROM m WHERE member = 'primary') WHERE n <= 8""")
+def find_node(t):
+    return graph.find_node(_members(t), ["node"]).select("node", "peer", "ring")
+
+
+@query(f"WITH {MEMBERS} SELECT node, peer, ring AS ring_level, round(latency_ms, 6) AS rtt_ms FROM m WHERE member = 'primary'")
+def ring_topology(t):
+    return graph.ring_topology(_members(t), ["node"]).withColumn("rtt_ms", r6("rtt_ms"))
+
+
+@query(f"""WITH {MEMBERS}, n AS (SELECT node, count(*) AS nodes FROM m GROUP BY 1), c AS (SELECT o_custkey AS node, count(*) AS connections, count(*) FILTER (o_orderstatus = 'F') AS friends FROM orders GROUP BY 1)
+SELECT coalesce(n.node, c.node) AS node, coalesce(nodes, 0) AS nodes, coalesce(connections, 0) AS connections, coalesce(friends, 0) AS friends FROM n FULL JOIN c ON n.node = c.node""")
+def node_totals(t):
+    links = t("orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("peer"), (F.col("o_orderstatus") == "F").alias("friend"))
+    return graph.totals(_members(t), links, ["node"])
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS INTEGER) AS rank FROM events")
+def latency_order(t):
+    return graph.by_latency(t("events").select("user_id", "event_id", F.col("value").alias("latency_ms")), ["user_id"], "event_id").select("user_id", "event_id", "rank")
+
+
+@query("SELECT l_orderkey, l_suppkey AS peer, l_linenumber AS level, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS INTEGER) AS rank FROM lineitem")
+def level_order(t):
+    return graph.by_level(t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("peer"), F.col("l_linenumber").alias("level")), ["l_orderkey"])
+
+
+@query("SELECT user_id, event_type AS target FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events) WHERE n = 1")
+def nearest_probe(t):
+    return graph.nearest_probe(t("events").select("user_id", F.col("event_type").alias("target"), F.col("value").alias("latency_ms"), "event_id"), ["user_id"], "event_id")
+
+
+def _peers(t):
+    k = F.col("s_suppkey")
+    phase = F.when(k % 7 == 0, "exhale").when(k % 3 == 0, "inhale").otherwise("neutral")
+    return t("supplier").select(
+        F.col("s_nationkey").alias("node"), k.alias("peer"), (F.abs("s_acctbal") / 10000).alias("weight"), (k % 10 / 10).alias("capacity"), (k % 100).cast("double").alias("latency_ms"),
+        F.lit(0.9).alias("availability"), (k % 11 == 0).alias("rendezvous"), phase.alias("phase"), (k % 4).alias("fails"),
+    )
+
+
+@query("""WITH s AS (SELECT s_suppkey AS peer, s_nationkey AS node, greatest(abs(s_acctbal) / 10000, 0.01) * greatest(1 - (s_suppkey % 10) / 10.0, 0) / (1 + (s_suppkey % 100) * 1000 / 5000.0) * 0.9 AS score FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 4 < 3)
+SELECT c_custkey AS request, peer, round(score, 6) AS score FROM customer JOIN s ON c_nationkey = node WHERE score >= 0.01 AND peer NOT IN (c_custkey % 100 + 1, c_custkey % 50 + 1)""")
+def storage_candidates(t):
+    """Where each customer's block may go: suppliers of its nation, without one on the path and one visited."""
+    k = F.col("c_custkey")
+    asked = t("customer").select(k.alias("request"), F.col("c_nationkey").alias("node"), F.array(k % 100 + 1).alias("path"), F.array(k % 50 + 1).alias("visited"))
+    return graph.storage_candidates(asked, _peers(t)).withColumn("score", r6("score"))
+
+
+@query("""WITH a AS (SELECT l_suppkey AS node, l_partkey AS target, l_orderkey AS ts, l_linenumber * (l_orderkey % 3) AS ms FROM lineitem)
+SELECT target, arg_max(ms, ts * 10000000 + node * 100 + ms)::DOUBLE AS latency_ms FROM a WHERE ms > 0 GROUP BY 1""")
+def answers_merged(t):
+    """Latencies of targets out of answers; those of 0 say nothing."""
+    ms = (F.col("l_linenumber") * (F.col("l_orderkey") % 3)).cast("double")
+    rows = t("lineitem").select(F.col("l_partkey").alias("target"), ms.alias("latency_ms"), (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey") * 100 + ms).cast("long").alias("ts"))
+    return graph.answers_merged(rows.where("latency_ms > 0").limit(0), rows).select("target", "latency_ms")
+
+
+@query("SELECT user_id, event_id AS message, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 32 THEN 'open' ELSE 'not found' END AS state FROM events")
+def pending_searches(t):
+    return graph.pending_kept(t("events").select("user_id", F.col("event_id").alias("message")), ["user_id"])
+
+
+@query("""SELECT request, peer FROM (SELECT l_orderkey AS request, ps.s_suppkey AS peer, row_number() OVER (PARTITION BY l_orderkey ORDER BY ps.s_suppkey) AS n
+FROM (SELECT l_orderkey, list(l_suppkey) AS visited FROM lineitem WHERE l_orderkey % 8 < 6 GROUP BY 1) l JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ps ON ps.s_nationkey = c_nationkey WHERE NOT list_contains(visited, ps.s_suppkey)) WHERE n <= 3""")
+def rank_forward(t):
+    """An order's rank goes on to three suppliers of the customer's nation that it hasn't been at, unless it has made its six hops."""
+    visited = t("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("visited"))
+    asked = visited.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    asked = asked.select(F.col("l_orderkey").alias("request"), F.col("c_nationkey").alias("node"), "visited", (F.col("l_orderkey") % 8).alias("hop"))
+    return graph.ranked_forward(asked, t("supplier").select(F.col("s_nationkey").alias("node"), F.col("s_suppkey").alias("peer"), F.col("s_suppkey").alias("ordinal")))
+
+
+@query("SELECT DISTINCT l_suppkey AS peer, l_partkey AS hash FROM lineitem WHERE (l_suppkey, l_partkey) NOT IN (SELECT (l_suppkey, l_partkey) FROM lineitem WHERE l_returnflag = 'R')")
+def recall_declined(t):
+    pairs = t("lineitem").select(F.col("l_suppkey").alias("peer"), F.col("l_partkey").alias("hash"), "l_returnflag")
+    return graph.recalled(pairs.select("peer", "hash").distinct(), pairs.where("l_returnflag = 'R'"))
+
+
+@query("""SELECT l_partkey AS hash, list_sort(list(DISTINCT l_suppkey)) AS requesters, CASE WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) THEN 'local' ELSE 'route' END AS outcome FROM lineitem GROUP BY 1""")
+def local_find(t):
+    asked = t("lineitem").select(F.col("l_partkey").alias("hash"), F.col("l_suppkey").alias("requester"))
+    return graph.found_locally(asked, t("part").where("p_size > 25").select(F.col("p_partkey").alias("hash")))
+
+
+@query("SELECT event_id FROM events WHERE 10000 > event_id * 1.0 + (event_id % 7) * 1000")
+def expired_queries(t):
+    rows = t("events").select("event_id", F.col("event_id").alias("start_ms"), (F.col("event_id") % 7 * 1000).alias("timeout_ms"))
+    return policy.expired_queries(rows, F.lit(10_000)).select("event_id")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS message, min(l_linenumber * 10 + l_suppkey % 10) AS got FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderkey AS message, got - o_orderkey % 5 AS rtt_ms FROM orders LEFT JOIN r ON message = o_orderkey""")
+def response_correlation(t):
+    sent = t("orders").select(F.col("o_orderkey").alias("message"), (F.col("o_orderkey") % 5).alias("sent_ms"))
+    got = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("message"), (F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("got_ms"))
+    return policy.answered(sent, got).select("message", "rtt_ms")
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS waiter, p_name AS data FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def pending_gets(t):
+    """All that wait for a slot (a part's) get what was read from it."""
+    waiting = t("lineitem").select((F.col("l_partkey") % 16).alias("section_id"), F.floor(F.col("l_partkey") / 16).alias("slot"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("waiter"))
+    read = t("part").select((F.col("p_partkey") % 16).alias("section_id"), F.floor(F.col("p_partkey") / 16).alias("slot"), F.col("p_name").alias("data"))
+    return policy.resolved_gets(waiting, read)
+
+
+@query("""SELECT event_type, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY refill DESC, user_id DESC) AS n FROM (SELECT event_type, user_id, max(event_id) AS refill FROM events GROUP BY 1, 2)) WHERE n <= 40""")
+def refill_eviction(t):
+    rows = t("events").groupBy("event_type", "user_id").agg(F.max("event_id").alias("refill_ms")).withColumn("ordinal", F.col("user_id"))
+    return policy.refill_evictions(rows, ["event_type"], 40).select("event_type", "user_id")
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS peer, CASE o_orderkey % 15 WHEN 1 THEN 'ping' WHEN 3 THEN 'ping_capacity' WHEN 7 THEN 'find' WHEN 11 THEN 'store' WHEN 13 THEN 'seek' END AS kind FROM orders)
+SELECT c_custkey AS peer, k AS kind, CASE WHEN s.kind IS NOT NULL THEN 0.0 ELSE 2.5 END::DOUBLE AS tokens FROM customer CROSS JOIN (VALUES ('find'), ('store'), ('seek'), ('ping_capacity'), ('ping')) v(k) LEFT JOIN s ON s.peer = c_custkey AND s.kind = k""")
+def backed_off(t):
+    buckets = t("customer").select(F.col("c_custkey").alias("peer"), F.explode(F.array(*(F.lit(k) for k in policy.BUCKETS))).alias("kind"), F.lit(2.5).alias("tokens"))
+    return policy.backed_off(buckets, t("orders").select(F.col("o_custkey").alias("peer"), (F.col("o_orderkey") % 15).cast("int").alias("wire")))
+
+
+@query("""WITH RECURSIVE f(l, a, b) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT l + 1, b, a + b FROM f WHERE l < 44), s AS (SELECT l AS fib, CASE WHEN l = 0 THEN 0 ELSE b - 1 + l END AS start FROM f),
+h AS (SELECT event_type, user_id, count(*) AS hits FROM events GROUP BY 1, 2), c AS (SELECT event_type, user_id, max(fib) AS fib, hits - max(start) AS count FROM h JOIN s ON s.start <= hits GROUP BY 1, 2, hits)
+SELECT a.event_type, a.user_id, CASE WHEN (a.fib, a.count) < (b.fib, b.count) THEN -1 WHEN (a.fib, a.count) > (b.fib, b.count) THEN 1 ELSE 0 END AS cmp FROM c a JOIN c b ON a.event_type = b.event_type AND b.user_id = a.user_id + 1""")
+def counter_compare(t):
+    """Each user's counter against the next user's."""
+    hits = t("events").groupBy("event_type", "user_id").agg(store.hit_level(F.count("*")).alias("a"))
+    after = hits.select("event_type", (F.col("user_id") - 1).alias("user_id"), F.col("a").alias("b"))
+    return hits.join(after, ["event_type", "user_id"]).select("event_type", "user_id", store.compared(F.col("a"), F.col("b")).alias("cmp"))
+
+
+@query("""WITH v AS (SELECT p_size, p_partkey, (p_partkey % 9) || '.' || (p_size % 3) || '.0' || CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN '-rc1' ELSE '-dev' END AS tag FROM part)
+SELECT p_size, arg_min(tag, p_partkey) AS tag FROM v WHERE tag LIKE '%rc%' GROUP BY 1""")
+def first_rc(t):
+    """For each list of releases the first of the rc channel."""
+    k = F.col("p_partkey")
+    tail = F.when(k % 3 == 0, "").when(k % 3 == 1, "-rc1").otherwise("-dev")
+    tag = F.concat((k % 9).cast("string"), F.lit("."), (F.col("p_size") % 3).cast("string"), F.lit(".0"), tail)
+    return codecs.first_release(t("part").select("p_size", "p_partkey", tag.alias("tag")), ["p_size"], "p_partkey", "tag", "rc")
+
+
+@query("""SELECT o_custkey, list(o_orderkey || '.txt' ORDER BY o_orderkey) AS names, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey * 10 END) AS BIGINT) AS bytes, count(*) FILTER (o_orderkey % 3 = 0) AS dirs FROM orders GROUP BY 1""")
+def directory_codec(t):
+    """Each customer's orders as a directory document in CBOR, read again."""
+    k = F.col("o_orderkey")
+    h, is_dir = F.unhex(F.sha2(k.cast("string"), 256)), k % 3 == 0
+    file = lambda c: F.when(~is_dir, c)
+    entry = F.struct(F.concat(k.cast("string"), F.lit(".txt")).alias("name"), is_dir.alias("is_dir"), F.when(is_dir, h).alias("dir_hash"), file(h).alias("file_hash"), F.when(k % 3 == 1, h).alias("descriptor_hash"), file(k * 10).alias("final_byte"), file(F.lit(1).cast("long")).alias("block_type"), file(F.lit(3).cast("long")).alias("tuple_size"), file(F.lit(0).cast("long")).alias("file_offset"))
+    docs = t("orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), entry.alias("e")))), lambda x: x["e"]).alias("entries"))
+    back = docs.select("o_custkey", cbor.directory_entries(cbor.directory_document("entries")).alias("e"))
+    total = F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["final_byte"], F.lit(0)))
+    return back.select("o_custkey", F.transform("e", lambda x: x["name"]).alias("names"), total.alias("bytes"), F.size(F.filter("e", lambda x: x["is_dir"])).alias("dirs"))
 
 
 @query("""SELECT s_suppkey AS target, coalesce(latency_ms, 0.0) AS latency_ms FROM supplier LEFT JOIN (SELECT user_id, max_by(value, event_id) AS latency_ms FROM events GROUP BY 1) ON s_suppkey = user_id""")
@@ -444,11 +649,13 @@ def measure_nodes(t):
     return graph.measured(t("supplier").select(F.col("s_suppkey").alias("target")), seen)
 
 
-@query("SELECT doc_id, CAST(ascii(substr(text, 1, 1)) AS INTEGER) AS first_byte, CAST((ascii(substr(text, 1, 1)) >> 3) & 1 AS INTEGER) AS bit3 FROM documents WHERE text <> '' AND ascii(substr(text, 1, 1)) < 128")
+@query("""WITH f AS (SELECT doc_id, CAST('0x' || substr(hex(encode(text)), 1, 2) AS INTEGER) AS first_byte, substr(hex(encode(text)), 3) AS rest FROM documents WHERE text <> '')
+SELECT doc_id, first_byte, (first_byte >> 3) & 1 AS bit3, sha256('41' || rest) AS put FROM f""")
 def byte_access(t):
+    """The first byte, its fourth bit, and the text with another first byte (a digest of its hex digits)."""
     data = F.encode("text", "UTF-8")
-    rows = t("documents").where("text <> ''").select("doc_id", bytes_.byte_at(data, F.lit(0)).alias("first_byte"), bytes_.bit_at(data, F.lit(3)).alias("bit3"))
-    return rows.where("first_byte < 128")
+    put = F.sha2(F.hex(bytes_.byte_set(data, F.lit(0), F.lit(0x41))), 256)
+    return t("documents").where("text <> ''").select("doc_id", bytes_.byte_at(data, F.lit(0)).alias("first_byte"), bytes_.bit_at(data, F.lit(3)).alias("bit3"), put.alias("put"))
 
 
 @query("SELECT page_id, length(url) BETWEEN 1 AND 1024 AND NOT contains(url, '..') AND NOT contains(url, '/') AS valid_name, regexp_matches(url, '^[\\x20-\\x7E]{1,256}$') AS valid_type FROM pages")

@@ -35,11 +35,14 @@ def test_hit_counter_against_the_loop(spark):
 def test_learning(spark):
     got = one(spark, graph.delta(F.lit(61_000.0)).alias("slow"), graph.delta(F.lit(0.0)).alias("fast"), graph.decayed(F.lit(0.5), F.lit(1)).alias("decay"), graph.decayed(F.lit(0.0), F.lit(1)).alias("floor"))
     assert got.slow == 0 and got.fast == pytest.approx(0.1) and got.decay == pytest.approx(0.4995) and got.floor == 0.01
-    paths = spark.createDataFrame([(["a", "b", "c"], 0.1)], "path array<string>, step double")
-    edges = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.2), ("b", "a", 0.5)], "src string, dst string, weight double")
+    paths = spark.createDataFrame([("a", 1, ["a", "b", "c"], 0.1)], "src string, seq int, path array<string>, step double")
+    edges = spark.createDataFrame([("a", "a", 0.5), ("a", "b", 0.3), ("a", "c", 0.2), ("z", "b", 0.4)], "src string, dst string, weight double")
     got = {(r.src, r.dst): r.weight for r in graph.learned(paths, edges).collect()}
-    assert got[("a", "b")] == pytest.approx(0.6) and got[("a", "c")] == pytest.approx(0.225) and got[("b", "a")] == pytest.approx(0.505)
-    assert got[("b", "c")] == pytest.approx(0.1)  # new edges begin at the learning rate
+    # the holder gains all and, as third on the path, a quarter; all before it a twentieth
+    assert got == {("a", "a"): pytest.approx(0.505), ("a", "b"): pytest.approx(0.305), ("a", "c"): pytest.approx(0.325), ("z", "b"): 0.4}
+    many = spark.createDataFrame([("a", i, ["x"], 0.01) for i in range(10)] + [("b", 1, ["p", "q"], 0.1)], "src string, seq int, path array<string>, step double")
+    got = {(r.src, r.dst): r.weight for r in graph.learned(many, edges.limit(0)).collect()}
+    assert got == {("a", "x"): pytest.approx(0.19), ("b", "q"): pytest.approx(0.1), ("b", "p"): pytest.approx(0.1)}
 
 
 def test_respiration(spark):
@@ -83,13 +86,19 @@ def test_encode_decode(spark, size, tuple_size):
     assert blocks.damaged(stored).isEmpty()
     decoded = blocks.decode(tuples, stored).cache()
     sizes = df.select("file_id", F.lit(0).alias("start"), F.octet_length("content").alias("end"))
-    assert {r.file_id: bytes(r.content) for r in blocks.read_range(decoded, sizes, size).collect()} == dict(enumerate(contents))
+    assert {r.file_id: bytes(r.content) for r in blocks.read_range(tuples, stored, sizes, size).collect()} == dict(enumerate(contents))
     part = spark.createDataFrame([(4, 100, 400)], "file_id long, start int, end int")
-    assert bytes(blocks.read_range(decoded, part, size).first().content) == contents[4][100:400]
+    assert bytes(blocks.read_range(tuples, stored.unionByName(stored), part, size).first().content) == contents[4][100:400]
     missing = stored.join(tuples.where("file_id = 4 and tuple_no = 0 and pos = 0"), "hash", "left_anti")
     assert blocks.decode(tuples, missing).where("file_id = 4 and tuple_no = 0").first().data is None
-    again = blocks.walk(blocks.descriptor(tuples, size), tuple_size)
+    chain = blocks.described(tuples, size).cache()
+    assert blocks.damaged(chain).isEmpty() and chain.where(F.octet_length("data") != size).isEmpty()
+    n = tuples.groupBy("file_id").agg(F.countDistinct("tuple_no").alias("tuples"))
+    heads = chain.where("chunk_no = 0").join(n, "file_id").select("file_id", "hash", "tuples", F.lit(0).alias("first"), (F.col("tuples") - 1).alias("last"))
+    again = blocks.followed(heads, chain, size, tuple_size)
     assert again.exceptAll(tuples).isEmpty() and tuples.exceptAll(again).isEmpty()
+    late = blocks.followed(heads.withColumn("first", F.col("last")), chain, size, tuple_size)
+    assert late.exceptAll(tuples).isEmpty() and late.count() == n.count() * tuple_size
 
 
 def test_xor(spark):
@@ -220,3 +229,186 @@ def test_histogram(spark):
     df = spark.createDataFrame([(1.0,), (5.0,), (5.0001,), (99.0,)], "v double")
     got = {r.bucket: r.n for r in telemetry.histogram(df, [], "v", [1, 5, 10]).collect()}
     assert got == {0: 1, 1: 1, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("size", [160, 4000])
+def test_put_and_get(spark, size):
+    contents = {1: b"", 2: b"x", 3: bytes(range(256)) * 20, 4: None, 5: b"too long" * 4000}
+    df = spark.createDataFrame(list(contents.items()), "file_id long, content binary")
+    stored, resources = blocks.put(df, size, 3, free=30_000 if size == 160 else 45_000)
+    stored, resources = stored.cache(), resources.cache()
+    assert {r.file_id: r.outcome for r in resources.collect()} == {1: "stored", 2: "stored", 3: "stored", 4: "stored", 5: "full"}
+    asked = resources.where("outcome = 'stored'").withColumnRenamed("file_id", "request")
+    whole = blocks.get(asked.withColumn("start", F.lit(0)).withColumn("end", F.col("length")), stored, size)
+    assert {r.request: (bytes(r.content), r.intact) for r in whole.collect()} == {k: (contents[k] or b"", True) for k in (1, 2, 3, 4)}
+    part = blocks.get(asked.withColumn("start", F.lit(4100)).withColumn("end", F.lit(9999)), stored, size)
+    assert {r.request: bytes(r.content) for r in part.collect()} == {1: b"", 2: b"", 3: contents[3][4100:], 4: b""}
+    lost = stored.join(blocks.encode(df.where("file_id = 3"), size)[1].where("tuple_no = 0 and pos = 1"), "hash", "left_anti")
+    got = {r.request: (r.content, r.intact) for r in blocks.get(asked.withColumn("start", F.lit(0)).withColumn("end", F.col("length")), lost, size).collect()}
+    assert got[3] == (None, False) and bytes(got[2][0]) == b"x"
+
+
+def test_closest_ties(spark):
+    nodes = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40, 0, -1)] + [(50, [1.0, 2.5])], "node long, vector array<double>").repartition(3)
+    query = nodes.where("node = 50").select(F.col("node").alias("query"), "vector")
+    assert sorted(r.node for r in graph.closest(query, nodes, 5).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_cache_put_get_remove(spark):
+    index = spark.createDataFrame([], "hash string, section_id int, slot int, hits long")
+    slots = spark.createDataFrame([], "section_id int, slot int, is_free boolean, data string")
+    put = spark.createDataFrame([(h, f"data {h}") for h in "abcab"], "hash string, data string")
+    index, slots = (x.cache() for x in store.cache_put(index, slots, put, 2, 2))
+    assert {(r.hash, r.section_id, r.slot, r.hits) for r in index.collect()} == {("a", 0, 0, 2), ("b", 1, 0, 2), ("c", 0, 1, 1)}
+    more = spark.createDataFrame([("a", "data a"), ("d", "data d"), ("e", "data e")], "hash string, data string")
+    index, slots = (x.cache() for x in store.cache_put(index, slots, more, 2, 2))
+    assert index.select("section_id", "slot").distinct().count() == 5 and {r.hash: r.hits for r in index.collect()}["a"] == 3
+    wanted = spark.createDataFrame([("a",), ("e",), ("zzz",)], "hash string")
+    assert {r.hash: r.data for r in store.cache_get(index, slots, wanted).collect()} == {"a": "data a", "e": "data e", "zzz": None}
+    index, slots = store.cache_remove(index, slots, wanted)
+    assert {r.hash for r in index.collect()} == {"b", "c", "d"} and slots.where("is_free").count() == 2
+    assert {r.hash: r.data for r in store.cache_get(index, slots, wanted.unionByName(put.select("hash"))).collect()} == {"a": None, "b": "data b", "c": "data c", "e": None, "zzz": None}
+
+
+def test_store_details(spark):
+    rows = spark.createDataFrame([(i, f"h{i}", i % 5) for i in range(50)], "no int, hash string, fib int")
+    base = store.ordered_checksum(rows, ["no"], "hash", "fib").first()
+    assert store.ordered_checksum(rows.repartition(7), ["no"], "hash", "fib").first() == base
+    assert store.ordered_checksum(rows.withColumn("no", -F.col("no")), ["no"], "hash", "fib").first() != base
+    assert store.index_checksum(rows, "hash").first() == store.index_checksum(rows.repartition(3), "hash").first()
+    index = spark.createDataFrame([("a", 0, 5), ("b", 1, 2)], "hash string, section_id int, slot int")
+    moved = store.relocate(index, spark.createDataFrame([(0, 5, 0)], "section_id int, slot int, new_slot int"))
+    assert {(r.hash, r.slot) for r in moved.collect()} == {("a", 0), ("b", 2)}
+    data = spark.createDataFrame([(0, 0, "x")], "section_id int, slot int, data string")
+    assert [(r.hash, r.data) for r in store.lookup(moved, moved.select("hash"), data).collect()] == [("a", "x")]
+    less = one(spark, store.one_hit_less(F.lit(1)).alias("x"), store.one_hit_less(F.lit(0)).alias("y"))
+    assert tuple(less.x) == (0, 0) and tuple(less.y) == (0, 0)
+
+
+def test_bytes_details(spark):
+    got = one(
+        spark, bytes_.byte_set(F.lit(b"abc"), F.lit(1), F.lit(0x5A)).alias("put"), bytes_.byte_set(F.lit(b"abc"), F.lit(3), F.lit(1)).alias("off"), bytes_.bit_or(F.lit(b"\x0f"), F.lit(b"\xf0")).alias("either"),
+        bytes_.bit_and(F.lit(b"\x3f"), F.lit(b"\xf3")).alias("both"), bytes_.xxh32(F.lit(b"abc"), F.lit(0)).alias("h32"), bytes_.xxh3(F.lit(b"abc"), F.lit(0)).alias("h3"),
+        bytes_.tuple_hash(F.array(F.lit(b"\x01\x02"), F.lit(None).cast("binary"), F.lit(b"\xff" * 32))).alias("tuple"), bytes_.node_hash(F.lit(b"\xff" * 8 + b"rest")).alias("node"), bytes_.set_bits(F.array(F.lit(1), F.lit(4)), 3).alias("bits"),
+    )
+    import xxhash
+
+    h = 5381
+    for byte in b"\x01\x02" + b"\xff" * 32:
+        h = (h * 33 + byte) % 2**64
+    assert (bytes(got.put), bytes(got.off), bytes(got.either), bytes(got.both)) == (b"aZc", b"abc", b"\xff", b"\x33")
+    assert got.h32 == xxhash.xxh32_intdigest(b"abc") and got.h3 % 2**64 == xxhash.xxh3_64_intdigest(b"abc") and got.tuple % 2**64 == h and got.node == -1 and got.bits == "01001"
+
+
+def test_cbor():
+    from tessera.functions import cbor
+
+    values = [0, 23, 24, 255, 256, 65536, 2**40, -1, -300, 1.5, True, False, None, b"\x00ab", "é", [1, [2, "x"]], {"a": 1, "b": [b"c"]}, [], {}]
+    assert [cbor.loads(cbor.dumps(v)) for v in values] == values
+    assert cbor.dumps(1) == b"\x01" and cbor.dumps("v") == b"av" and cbor.dumps(cbor.Open([1])) == b"\x9f\x01\xff" and cbor.dumps(cbor.Wide(3)) == b"\x1b" + b"\0" * 7 + b"\x03"
+    for bad in (b"", b"\xa1", b"\x61", b"\x01\x01", b"\xff", b"\x5a\0\0", b'{"v":1}'):
+        with pytest.raises(ValueError):
+            cbor.loads(bad)
+    file = {"name": "f", "is_dir": False, "file_hash": b"h", "descriptor_hash": None, "final_byte": 7, "block_type": 1, "tuple_size": 3, "file_offset": 0}
+    found = cbor.entries(cbor.directory([file, {"name": "d", "is_dir": True, "dir_hash": b"k"}]))
+    assert found[0] == file and found[1] == {"name": "d", "is_dir": True, "dir_hash": b"k"}
+    assert cbor.directory([]) == b"\xa2av\x01gentries\x9f\xff" and cbor.entries(b'{"v":1}') is None and cbor.entries(b"\xa1av\x01") is None
+
+
+RINGS = [("n", 0, 1, "primary", "a", 3.0), ("n", 0, 2, "primary", "b", 1.0), ("n", 2, 1, "primary", "c", 12.0), ("n", 2, 9, "secondary", "d", 11.0)]
+
+
+def test_rings(spark):
+    members = spark.createDataFrame(RINGS, "node string, ring int, place int, member string, peer string, latency_ms double")
+    assert graph.closest_in_lowest_ring(members, ["node"]).first().peer == "a"
+    assert [(r.ring, r.peer) for r in graph.best_of_rings(members, ["node"], 5).orderBy("ring").collect()] == [(0, "b"), (2, "c")]
+    assert [r.peer for r in graph.find_node(members, ["node"], 2).orderBy("ring", "place").collect()] == ["a", "b"]
+    assert {r.peer for r in graph.ring_topology(members, ["node"]).collect()} == {"a", "b", "c"}
+    answer = spark.createDataFrame([("n", "b", 50.0), ("n", "e", 2.0), ("n", "f", 2.5)], "node string, peer string, latency_ms double")
+    put = {r.peer: (r.ring, r.place) for r in graph.inserted(members, answer, ["node"]).collect()}
+    assert put["b"] == (0, 2) and put["e"] == (0, 3) and put["f"] == (0, 4)
+    late = graph.promoted(members.where("ring = 2"), spark.createDataFrame([("c",)], "peer string"), ["node", "ring"], ["place"], "peer")
+    assert [(r.peer, r.member) for r in late.collect()] == [("d", "primary")]
+    heavy = graph.heaviest(spark.createDataFrame([("n", "a", 0.1), ("n", "b", 0.9), ("n", "c", 0.5)], "src string, dst string, weight double"), 2)
+    assert {r.dst for r in heavy.collect()} == {"b", "c"}
+    left = graph.dropped_peers(spark.createDataFrame([("a", 0.5, False), ("b", 0.05, False), ("c", 0.0, True)], "peer string, weight double, friend boolean"), 0.1, 0.1)
+    assert {r.peer for r in left.collect()} == {"a", "c"}
+
+
+def test_gossip(spark):
+    members = spark.createDataFrame([("a", 0, "b"), ("b", 0, "c"), ("c", 0, "d"), ("d", 0, "a")], "node string, ring int, peer string")
+    assert graph.gossip_round(members, "s").count() == 4
+    got = {}
+    for r in graph.gossip_exchange(members, "s").collect():
+        got.setdefault(r.node, set()).add(r.peer)
+    assert got == {"a": {"b", "c", "d"}, "b": {"a", "c", "d"}, "c": {"a", "b", "d"}, "d": {"a", "b", "c"}}
+    assert one(spark, policy.ticks(F.lit(0), F.lit(100), 10, 3, 25).alias("t")).t == [10, 20, 30, 55, 80]
+    new = graph.wanted_offers(spark.createDataFrame([("h",)], "hash string"), spark.createDataFrame([("p", "h"), ("q", "k")], "peer string, hash string"))
+    assert [r.peer for r in new.collect()] == ["p"]
+
+
+def test_store_step(spark):
+    peers = "node string, peer string, weight double, capacity double, latency_ms double, availability double, rendezvous boolean, phase string, fails int"
+    rows = [("n", "good", 0.9, 0.1, 1.0, 1.0, False, "inhale", 0), ("n", "full", 0.9, 0.1, 1.0, 1.0, False, "exhale", 0), ("n", "failing", 0.9, 0.1, 1.0, 1.0, False, "inhale", 3), ("n", "meeting", 0.9, 0.1, 1.0, 1.0, True, "inhale", 0), ("n", "seen", 0.9, 0.1, 1.0, 1.0, False, "inhale", 0), ("n", "way", 0.9, 0.1, 1.0, 1.0, False, "inhale", 0)]
+    peers = spark.createDataFrame(rows, peers)
+    ask = [(1, "n", "h", 3, True), (2, "n", "h", 0, False), (3, "n", "h", 3, False), (4, "n", "topic", 3, False), (5, "n", "known", 3, False), (6, "alone", "h", 3, False)]
+    requests = spark.createDataFrame([(*a[:4], ["way"], ["seen"], a[4]) for a in ask], "request int, node string, hash string, ttl int, path array<string>, visited array<string>, accept boolean")
+    connected = spark.createDataFrame([("n", "way", "topic", 0), ("n", "full", "topic", 1), ("n", "good", "topic", 2)], "node string, peer string, hash string, ordinal int")
+    knows = spark.createDataFrame([("good", "known", 2), ("full", "known", 1), ("failing", "known", 0)], "peer string, hash string, hops int")
+    got = {r.request: (r.outcome, r.peer) for r in graph.store_step(requests, peers, connected, knows).collect()}
+    assert got == {1: ("accepted", None), 2: ("max hops", None), 3: ("forwarded", "good"), 4: ("forwarded", "full"), 5: ("forwarded", "good"), 6: ("declined", None)}
+
+
+def test_closest_step(spark):
+    peers = spark.createDataFrame([("n", "a", 5.0, 0.5, False), ("n", "b", 2.0, 0.5, False), ("n", "c", 1.0, 0.5, True), ("n", "p", 0.5, 0.5, False)], "node string, peer string, latency_ms double, weight double, rendezvous boolean")
+    ask = [(1, "n", "n", 9.0, 3), (2, "n", "near", 100.0, 3), (3, "n", "far", 100.0, 0), (4, "n", "known", 100.0, 3), (5, "n", "far", 100.0, 3), (6, "alone", "far", 1.0, 3)]
+    requests = spark.createDataFrame([(*a, ["p"]) for a in ask], "request int, node string, target string, best_ms double, ttl int, path array<string>")
+    latencies = spark.createDataFrame([("n", "near", 40.0), ("n", "far", 90.0)], "node string, target string, latency_ms double")
+    knows = spark.createDataFrame([("a", "known", 1)], "peer string, hash string, hops int")
+    got = sorted((r.request, r.outcome, r.peer or "") for r in graph.closest_step(requests, peers, latencies, knows).collect())
+    assert got == [(1, "found", ""), (2, "found", ""), (3, "expired", ""), (4, "forwarded", "a"), (5, "forwarded", "a"), (5, "forwarded", "b"), (6, "not found", "")]
+
+
+def test_pings(spark):
+    nodes = spark.createDataFrame([("a", 10.0, 0.1, "inhale", 0.9, 1), ("b", 0.0, 0.2, "inhale", 0.9, 2), ("c", 5.0, 0.3, "neutral", 0.8, 0)], "peer string, latency_ms double, capacity double, phase string, availability double, fails int")
+    answers = spark.createDataFrame([("a", 1, 20.0, 0.5, "exhale", None), ("a", 2, None, None, None, None), ("b", 1, None, None, None, None)], "peer string, ts int, rtt_ms double, capacity double, phase string, availability double")
+    got = {r.peer: tuple(r)[1:] for r in graph.pinged(nodes, answers).collect()}
+    assert got == {"a": (pytest.approx(11.0), 0.5, "exhale", 0.9, 1), "b": (0.0, 0.2, "inhale", 0.9, 3), "c": (5.0, 0.3, "neutral", 0.8, 0)}
+
+
+def test_fifo(spark):
+    rows = [("t", k, i, float(i)) for i, k in enumerate("abcabdea")]
+    got = policy.fifo_kept(spark.createDataFrame(rows, "peer string, key string, at int, ms double"), ["peer"], "key", "at", 3)
+    # d drives out a, e drives out b, the last a drives out c
+    assert {r.key: r.ms for r in got.collect()} == {"d": 5.0, "e": 6.0, "a": 7.0}
+
+
+def test_policy_details(spark):
+    got = one(spark, policy.retry_after_ms(F.lit(0.5), F.lit(1.0), F.lit(2.0)).alias("a"), policy.retry_after_ms(F.lit(2.0), F.lit(1.0), F.lit(2.0)).alias("b"), policy.ttl_ms(F.lit(1000.0), F.lit(2)).alias("c"), graph.converged(F.lit(5), F.lit(10), 1, 2).alias("d"), graph.converged(F.lit(6), F.lit(10), 1, 2).alias("e"))
+    assert (got.a, got.b, got.c, got.d, got.e) == (250.0, 0.0, 500.0, True, False)
+    breath = policy.breath(spark.createDataFrame([("x", 3), ("y", 1), ("z", None)], "hash string, ejected int"), spark.createDataFrame([("y",)], "hash string"), 2)
+    assert {r.hash: r.action for r in breath.collect()} == {"x": "push", "y": "delete"}
+
+
+def test_files_and_urls(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.bin").write_bytes(bytes(range(250)))
+    assert [(r.no, len(r.data)) for r in files.file_chunks(spark, str(tmp_path / "f"), 100).orderBy("no").collect()] == [(0, 100), (1, 100), (2, 50)]
+    whole = spark.read.format("binaryFile").load(str(tmp_path / "f"))
+    assert bytes(files.read_at(whole, 240, 100).first().data) == bytes(range(240, 250))
+    files.write_table(spark.range(3), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    tree = spark.createDataFrame([("r", "a", "fa", False), ("r", "s", "ds", True), ("ds", "b", "fb", False), ("r", "gone", None, False)], "dir string, name string, child string, is_dir boolean")
+    found = files.directory_files(tree, spark.createDataFrame([("r",)], "root string"))
+    assert {r.child for r in found.collect()} == {"fa", "fb"}
+    assert one(spark, codecs.path_join(F.lit("a/"), F.lit("/b"), F.lit("c")).alias("x")).x == "a/b/c"
+    key = one(spark, codecs.node_id(F.lit(b"key")).alias("x"), codecs.base58_decode(codecs.node_id(F.lit(b"key"))["text"]).alias("back"))
+    assert bytes(key.x["hash"]) == bytes(key.back)
+
+
+def test_block_sources(spark):
+    a = spark.createDataFrame([(1, bytearray(b"\x01"), b"x"), (2, bytearray(32), b"zero")], "no int, hash binary, data binary")
+    assert [(r.source, r.no) for r in blocks.rotated(a, a.where("no = 1")).collect()] == [(0, 1), (1, 1)]
+    rows = [(1, t, p, bytes([t * 3 + p + 1])) for t in range(2) for p in range(3)]
+    drawn = blocks.recycled(spark.createDataFrame(rows, "file_id int, tuple_no int, pos int, hash binary")).orderBy("draw")
+    assert [bytes(r.hash)[0] for r in drawn.collect()] == [1, 2, 4, 5, 3]
