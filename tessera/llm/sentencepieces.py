@@ -3,20 +3,27 @@
 Marked text is the text with every space written as the marker U+2581 and one
 marker before it. No piece of the vocabulary holds a marker after another
 character, so no merge crosses the place where a run of markers begins: the text
-falls into chunks there, and each distinct chunk is segmented once. Each task
-keeps the table of the chunks that it has met (emptied at a fixed size, which
-changes nothing but the time) and joins ids back by position. A vocabulary for
+falls into chunks there, and each chunk can be segmented by itself. A vocabulary for
 which that doesn't hold is refused.
 
+The chunks of all texts are counted (map-side combined, then by a shuffle of distinct chunks); the ``TABLE`` most
+frequent ones are segmented once, in parallel, and their table goes to all tasks, which
+join ids back by position. Its size is bounded. Chunks beyond it, rarer than all that are in it, and chunks of more than
+``LONGEST`` characters are segmented where they stand: to send each of their places through a shuffle and
+back would move more bytes than the texts have. A task keeps those that it has met (emptied at a fixed size, which
+changes nothing but the time).
+
 Null text counts as empty: no ids, empty decoding. Texts of any length are
-encoded whole, chunk by chunk. Other columns are not read; repeated rows give
-repeated results.
+encoded whole, chunk by chunk. Null ids stay null. An empty table gives an empty result. Other columns are not read; repeated rows
+give repeated results.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
+from tessera.llm.common import frequent, text_of, written
 
 MARK = "▁"
-#: Chunks in a task's table, and the longest chunk kept in it.
-TABLE, LONGEST = 400_000, 64
+#: Chunks in the table; chunks that a task keeps besides; the longest chunk in either; distinct chunks that a task counts before it hands them on.
+TABLE, KEPT, LONGEST, FLUSH = 500_000, 200_000, 64, 400_000
 
 
 class Chunks:
-    """The distinct-chunk table of one model: chunk to (ids, ids as decimals, decoded text)."""
+    """Segments chunks of one model: chunk to (number of ids, ids as decimals, decoded text). known: the table of all tasks; own: what this one met besides."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -45,7 +52,9 @@ class Chunks:
         if self.model.decode(self.model.encode(probe)) != probe:
             raise ValueError("this model normalises texts, so chunks can't stand alone")
         self.mark = self.model.piece_to_id(MARK)
-        self.table: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}
+        self.own: dict[str, tuple[int, str, str]] = {}
+        self.loaded: str | None = None
         self.split = re.compile(f"{MARK}+[^{MARK}]*").findall
 
     def segment(self, chunk: str) -> tuple[int, str, str]:
@@ -54,18 +63,27 @@ class Chunks:
         ids = self.model.encode(" " * (marks - 1) + chunk[marks:]) if chunk != MARK else [self.mark]
         # decode() drops the first marker of a text only, so here it's put back
         known = len(ids), ",".join(map(str, ids)), " " + self.model.decode(ids) if chunk != MARK else " "
-        if len(self.table) >= TABLE:
-            self.table.clear()
+        if len(self.own) >= KEPT:
+            self.own.clear()
         if len(chunk) <= LONGEST:
-            self.table[chunk] = known
+            self.own[chunk] = known
         return known
 
+    def load(self, name: str, table: pa.Table) -> None:
+        """Takes a table of segmented chunks, once for a name."""
+        if self.loaded != name:
+            columns = (table[c].to_pylist() for c in ("n_ids", "ids", "decoded"))
+            self.known, self.loaded = dict(zip(table["chunk"].to_pylist(), zip(*columns, strict=True), strict=True)), name
+
+    def chunks(self, text: str) -> list[str]:
+        return self.split(MARK + text.replace(" ", MARK)) if text else []
+
     def encode(self, text: str) -> tuple[int, str, str]:
         """Number of ids, ids in decimal joined by commas, decoded text."""
         if not text:
             return 0, "", ""
-        get, segment = self.table.get, self.segment
-        parts = [get(c) or segment(c) for c in self.split(MARK + text.replace(" ", MARK))]
+        get, own, segment = self.known.get, self.own.get, self.segment
+        parts = [get(c) or own(c) or segment(c) for c in self.chunks(text)]
         return sum(p[0] for p in parts), ",".join([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]
 
 
@@ -75,11 +93,51 @@ def chunks_of(path: str) -> Chunks:
     return Chunks(path)
 
 
+def chunk_counts(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """(chunk, n) of all chunks of up to LONGEST characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = chunks_of(model_path)
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(chunks.chunks(text.as_py()))
+                if len(counts) >= FLUSH:
+                    yield _counted(counts)
+                    counts.clear()
+        if counts:
+            yield _counted(counts)
+
+    found = df.select(text_of(text_col).alias("text")).mapInArrow(run, "chunk string, n long")
+    return found.repartition("chunk").groupBy("chunk").agg(F.sum("n").alias("n"))
+
+
+def _counted(counts: Counter[str]) -> pa.RecordBatch:
+    kept = [(c, n) for c, n in counts.items() if len(c) <= LONGEST]
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["chunk", "n"])
+
+
+def segmented(chunks: DataFrame, model_path: str) -> DataFrame:
+    """(chunk, n_ids, ids, decoded) of distinct chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = chunks_of(model_path).segment
+        for batch in batches:
+            found = [segment(c) for c in batch.column(0).to_pylist()]
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], ["chunk", "n_ids", "ids", "decoded"])
+
+    return chunks.select("chunk").mapInArrow(run, "chunk string, n_ids long, ids string, decoded string")
+
+
 def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """One row per row of df: doc_id, n_tokens, ids_sha256, decoded_sha256; with full also ids (array of int) and decoded."""
+    counts = written(chunk_counts(df, model_path, text_col))
+    sent = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, segmented(frequent(counts, TABLE), model_path).toArrow()))  # TABLE rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunks_of(model_path)
+        chunks.load(*sent.value)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for text in batch.column(1):

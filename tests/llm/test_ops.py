@@ -493,9 +493,11 @@ def test_exact_dedup_empty(none):
 # 10: SentencePiece
 
 
-def test_sentencepiece(spark, odd, none):
+@pytest.mark.parametrize("table", [sentencepieces.TABLE, 4])
+def test_sentencepiece(spark, odd, none, monkeypatch, table):
     import sentencepiece
 
+    monkeypatch.setattr(sentencepieces, "TABLE", table)
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = sentencepieces.encoded(odd, PIECES, full=True).collect()
     want = sorted((d, model.encode(t or ""), model.decode(model.encode(t or ""))) for d, t in ODD)
