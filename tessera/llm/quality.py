@@ -1,8 +1,9 @@
 """Quality classifier: a sparse rule ensemble.
 
 Statistics of a whole text are taken in one pass over its bytes. Small regression trees
-are boosted on labelled rows, every path from a root becomes a conjunctive rule
-over statistics, a lasso logistic regression leaves few rules with a weight, and the
+are boosted on labelled rows; in each round another tree is grown for the same gradients on half of the rows, and every
+path from its root becomes a conjunctive rule
+over statistics (the halves make the rules differ; the boosted trees only move the gradients). A lasso logistic regression leaves few rules with a weight, and the
 rules that remain are compiled into one Spark column expression, which scores all rows.
 
 The fit is the one bounded part: it takes at most ``max_rows`` labelled rows, those with
@@ -13,7 +14,7 @@ ids, languages and sources are no inputs of a score.
 Null text counts as empty; every statistic of an empty text is defined, so it gets a
 score like any other. Labels that are null, or disagree for one id, are left out. Without
 labels of both kinds every score is the share of label 1 (0.5 without labels). Repeated rows get a
-row each. An empty table gives an empty result. Other columns are not read.
+row each, and so do null ids, which are never held out. Texts of any length are measured whole. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -156,16 +157,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
     found: set[tuple[Condition, ...]] = set()
     margin = np.full(len(y), np.log(share / (1 - share)))
     rng = np.random.default_rng(0)
-    for _ in range(trees):  # each on half the rows, so that paths differ
+    for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        rows = np.flatnonzero(rng.random(len(y)) < 0.5)
+        half = np.flatnonzero(rng.random(len(y)) < 0.5)
+        _grown(bins, cuts, p - y, p * (1 - p), half, (), depth, least, np.zeros(len(y)), found)  # its paths are the rules
         step = np.zeros(len(y))
-        paths: set[tuple[Condition, ...]] = set()
-        _grown(bins, cuts, p - y, p * (1 - p), rows, (), depth, least, step, paths)
-        _grown_step = np.zeros(len(y))
-        _grown(bins, cuts, p - y, p * (1 - p), np.arange(len(y)), (), depth, least, _grown_step, set())
-        margin += rate * _grown_step
-        found |= paths
+        _grown(bins, cuts, p - y, p * (1 - p), np.arange(len(y)), (), depth, least, step, set())  # its steps move the margin
+        margin += rate * step
     unique: dict[bytes, tuple[Condition, ...]] = {}
     for path in sorted(found, key=lambda p: (len(p), p)):
         held = _holds(x, path)
