@@ -93,6 +93,11 @@ def unit(key: Column, seed: str) -> Column:
     return (F.conv(F.substr(F.md5(F.concat(F.lit(seed), key.cast("string")).cast("binary")), F.lit(1), F.lit(12)), 16, 10).cast("double") + 1) / float(1 << 48)
 
 
+def accepts(key: Column, phase: Column, capacity: Column, size: Column, fib: Column, seed: str = "accept") -> Column:
+    """Whether a node takes a block: never while it exhales, else with accept_probability, by a draw that depends on key and seed alone."""
+    return (phase != "exhale") & (unit(key, seed) <= accept_probability(capacity, size, fib))
+
+
 def roulette(candidates: DataFrame, by: list[str], key: str, weight: str, n: int, seed: str) -> DataFrame:
     """n candidates of each group, drawn without replacement in proportion to their weights."""
     order = -F.log(unit(F.col(key), seed)) / F.col(weight)
@@ -126,10 +131,12 @@ def reach(start: DataFrame, edges: DataFrame, holders: DataFrame, hops: int = HO
 
 
 def next_hop(requests: DataFrame, peers: DataFrame, knows: DataFrame) -> DataFrame:
-    """One routing step for each request (request, hash, ttl, path): (request, outcome, peer). A peer that knows the hash comes first, else up to FANOUT by roulette among peers not in the path."""
+    """One routing step for each request (request, hash, ttl, path, and visited peers if there is such a column): (request, outcome, peer). A peer that knows the hash comes first, else up to FANOUT by roulette among peers not in the path."""
     open_ = requests.where("ttl > 0")
     free = open_.join(peers.where(~F.col("rendezvous") & (F.col("weight") >= FLOOR)), "node")
     free = free.where(~F.array_contains("path", F.col("peer")))
+    if "visited" in requests.columns:
+        free = free.where(~F.array_contains("visited", F.col("peer")))
     wells = best_well(free.join(knows, ["peer", "hash"]).select("request", "peer", "hops", "weight"), ["request"]).select("request", "peer", F.lit("well").alias("outcome"))
     drawn = roulette(free.join(wells.select("request"), "request", "left_anti"), ["request"], "peer", "weight", FANOUT, "route").select("request", "peer", F.lit("walk").alias("outcome"))
     known = wells.unionByName(drawn)

@@ -36,6 +36,14 @@ def registry_json(metrics: DataFrame) -> DataFrame:
     return metrics.select("name", F.to_json(F.struct("type", "help", "value")).alias("json"))
 
 
+def histogram_json(buckets: DataFrame, by: list[str], bounds: list[float]) -> DataFrame:
+    """One JSON document per histogram out of histogram()'s rows: its bounds, the counts of all buckets, those with none included, count and sum."""
+    held = F.map_from_entries(F.collect_list(F.struct("bucket", "n")))
+    rows = buckets.groupBy(*by).agg(held.alias("held"), F.sum("n").alias("count"), F.sum("sum").alias("sum"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(len(bounds))), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0)))
+    return rows.select(*by, F.to_json(F.struct(F.array(*(F.lit(float(b)) for b in bounds)).alias("bounds"), counts.alias("buckets"), "count", "sum")).alias("json"))
+
+
 def peer_rollup(snapshots: DataFrame) -> DataFrame:
     """Over peers: how many are connected, their mean weight, requests summed by kind."""
     weight = F.avg("weight").alias("mean_weight")

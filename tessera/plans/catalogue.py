@@ -260,6 +260,14 @@ def histogram_latency(t):
     return telemetry.histogram(t("events"), ["event_type"], "value", [5, 25, 100, 250]).withColumn("sum", F.round("sum", 3))
 
 
+@query("""WITH b AS (SELECT event_type, CASE WHEN value <= 5 THEN 0 WHEN value <= 25 THEN 1 WHEN value <= 100 THEN 2 WHEN value <= 250 THEN 3 ELSE 4 END AS k FROM events)
+SELECT event_type, '[' || concat_ws(',', count(*) FILTER (k = 0), count(*) FILTER (k = 1), count(*) FILTER (k = 2), count(*) FILTER (k = 3), count(*) FILTER (k = 4)) || ']' AS buckets, count(*) AS n FROM b GROUP BY 1""")
+def registry_histogram(t):
+    bounds = [5, 25, 100, 250]
+    docs = telemetry.histogram_json(telemetry.histogram(t("events"), ["event_type"], "value", bounds), ["event_type"], bounds)
+    return docs.select("event_type", F.get_json_object("json", "$.buckets").alias("buckets"), F.get_json_object("json", "$.count").cast("long").alias("n"))
+
+
 @query("""WITH s AS (SELECT user_id, count(*) AS n, avg(value) AS w, max(value) > 200 AS connected FROM events GROUP BY 1) SELECT count(*) AS peers, count(*) FILTER (connected) AS connected, round(avg(w), 6) AS mean_weight, CAST(sum(n) AS BIGINT) AS requests FROM s""")
 def peer_rollup(t):
     peers = t("events").groupBy("user_id").agg(F.array(F.count("*")).alias("requests"), F.avg("value").alias("weight"), (F.max("value") > 200).alias("connected"))
@@ -333,6 +341,13 @@ def accept_probability(t):
     return t("part").select("p_partkey", r6(graph.accept_probability(F.col("p_size") / 50, F.col("p_retailprice"), F.col("p_partkey") % 15)).alias("p"))
 
 
+@query(f"""SELECT p_partkey, {CAP} < 0.8 AND (CAST('0x' || substr(md5('accept' || p_partkey), 1, 12) AS BIGINT) + 1) / 281474976710656.0
+<= greatest(0.0, least(1.0, (1 - {CAP} / 0.8) / (1 + p_retailprice / 1048576) * (1 + 0.05 * least(p_partkey % 15, 10)))) AS taken FROM part""")
+def accept_draw(t):
+    c = F.col("p_size") / 50
+    return t("part").select("p_partkey", graph.accepts(F.col("p_partkey"), policy.phase(c), c, F.col("p_retailprice"), F.col("p_partkey") % 15).alias("taken"))
+
+
 @query("""WITH u AS (SELECT s_suppkey, s_nationkey, abs(s_acctbal) / 10000 AS w, (CAST('0x' || substr(md5('draw' || s_suppkey), 1, 12) AS BIGINT) + 1) / 281474976710656.0 AS u FROM supplier)
 SELECT s_suppkey, s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY -ln(u) / w, s_suppkey) AS n FROM u WHERE w >= 0.01) WHERE n <= 3""")
 def roulette_sample(t):

@@ -21,7 +21,8 @@ def folded(df: DataFrame, by: list[str], order: list[str], start: Callable[[Any]
         key, state = None, None
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
+            for values in zip(*(batch[c].tolist() for c in batch), strict=True):
+                row = dict(zip(batch.columns, values, strict=True))
                 now = tuple(row[c] for c in by)
                 if now != key:
                     key, state = now, start(now)

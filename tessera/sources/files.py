@@ -65,6 +65,16 @@ def read_snapshot(spark: SparkSession, base: str, numbers: list[int], schema: St
     return None, spark.createDataFrame([], schema)
 
 
+def save_peers(peers: DataFrame, base: str, number: int) -> None:
+    """A node's peers (id, address, weight, whatever else they have) as a numbered snapshot with a checksum."""
+    write_snapshot(peers, base, number)
+
+
+def load_peers(spark: SparkSession, base: str, numbers: list[int], schema: StructType) -> DataFrame:
+    """The peers of the newest snapshot that isn't damaged; none without one."""
+    return read_snapshot(spark, base, numbers, schema)[1]
+
+
 def overlay(base: DataFrame, pending: DataFrame) -> DataFrame:
     """Configuration (field, value) with pending changes; a change to null removes the field."""
     changed = pending.withColumn("changed", F.lit(True))

@@ -76,8 +76,7 @@ def test_debounce_live(spark, tmp_path):
     assert sorted(r.calls for r in spark.table("bursts").collect()) == [1, 3]  # the last one isn't past the watermark
 
 
-@pytest.mark.parametrize("size", list(blocks.SIZES.values())[2:])
-@pytest.mark.parametrize("tuple_size", [2, 3, 5])
+@pytest.mark.parametrize("size,tuple_size", [(64_000, 2), (136, 3), (200, 5)])
 def test_encode_decode(spark, size, tuple_size):
     contents = [b"x" * n for n in (1, size - 1, size, size + 1)] + [bytes(range(256)) * 3]
     df = spark.createDataFrame(list(enumerate(contents)), "file_id long, content binary")
@@ -383,6 +382,19 @@ def test_fifo(spark):
     assert {r.key: r.ms for r in got.collect()} == {"d": 5.0, "e": 6.0, "a": 7.0}
 
 
+def test_peer_store(spark, tmp_path):
+    peers = spark.createDataFrame([("a", 0.5), ("b", 0.1)], "id string, weight double")
+    files.save_peers(peers, str(tmp_path), 1)
+    files.save_peers(peers.where("id = 'a'"), str(tmp_path), 2)
+    assert files.load_peers(spark, str(tmp_path), [1, 2], peers.schema).count() == 1
+    for part in (tmp_path / "snapshot=2" / "manifest").glob("part-*"):
+        part.write_text('{"rows":7,"checksum":1}')
+    for crc in (tmp_path / "snapshot=2" / "manifest").glob(".part-*.crc"):
+        crc.unlink()
+    assert files.load_peers(spark, str(tmp_path), [1, 2], peers.schema).count() == 2
+    assert files.load_peers(spark, str(tmp_path), [9], peers.schema).isEmpty()
+
+
 def test_policy_details(spark):
     got = one(spark, policy.retry_after_ms(F.lit(0.5), F.lit(1.0), F.lit(2.0)).alias("a"), policy.retry_after_ms(F.lit(2.0), F.lit(1.0), F.lit(2.0)).alias("b"), policy.ttl_ms(F.lit(1000.0), F.lit(2)).alias("c"), graph.converged(F.lit(5), F.lit(10), 1, 2).alias("d"), graph.converged(F.lit(6), F.lit(10), 1, 2).alias("e"))
     assert (got.a, got.b, got.c, got.d, got.e) == (250.0, 0.0, 500.0, True, False)
