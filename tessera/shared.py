@@ -83,3 +83,25 @@ def met(rows: DataFrame, table: DataFrame, keys: list[str], count: str, outer: b
         rest = dealt.join(salted.select(*keys, "__salt"), [*keys, "__salt"], "left_anti").select(*rows.columns)
     light = rest.join(table.where(F.col(count) <= HEAVY), keys, "left" if outer else "inner")
     return hot.select(*rows.columns, *names).unionByName(light.select(*rows.columns, *names))
+
+
+#: Words of a filter that are broadcast at most.
+FILTER = 1_500_000
+
+
+def split(rows: DataFrame, table: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in table (written), and those whose key certainly isn't: by a blocked Bloom filter of the table's keys, a word to two keys and three bits a key.
+
+    Neither shuffles while the filter has FILTER words at most; beyond that all rows may be in it. Rows with a null key aren't in it.
+    """
+    words = 1 << max(6, (table.count() // 2).bit_length())
+    if words > FILTER:
+        return rows, rows.limit(0)
+    h = F.xxhash64(*keys)
+    word = F.shiftrightunsigned(h, 18).bitwiseAND(F.lit(words - 1))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    bits = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+    held = written(table.groupBy(word.alias("__word")).agg(F.bit_or(bits).alias("__held")))  # at most words rows
+    tested = rows.withColumn("__word", word).join(F.broadcast(held), "__word", "left")
+    fits = F.coalesce(F.col("__held").bitwiseAND(bits) == bits, F.lit(False))
+    return tested.where(fits).select(*rows.columns), tested.where(~fits).select(*rows.columns)

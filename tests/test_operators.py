@@ -314,6 +314,18 @@ def test_cbor():
     assert cbor.directory([]) == b"\xa2av\x01gentries\x9f\xff" and cbor.entries(b'{"v":1}') is None and cbor.entries(b"\xa1av\x01") is None
 
 
+def test_wire(spark):
+    from tessera.functions import cbor, wire
+
+    find = [7, 1 << 31, 5, b"\x01" * 32, 6, b"\0" * 4, 0, [[b"h", b"text"]], 123, [b"s", b"t"]]
+    cases = [cbor.dumps(find), cbor.dumps([1, True, None, -5, {"a": b"x"}, "é"]), cbor.dumps([99]), cbor.dumps({"no": 1}), b"\xff", None, cbor.dumps([])]
+    rows = spark.createDataFrame(list(enumerate(cases)), "no int, data binary").select("no", "data", wire.messages(F.col("data"), wire.PEER).alias("m"))
+    got = {r.no: r for r in rows.select("*", wire.written_messages("m.kind", "m.message_id", "m.fields").alias("again")).collect()}
+    assert (got[0].m.name, got[0].m.message_id % 2**64) == ("find_block", (1 << 63) + 5) and (got[1].m.name, got[1].m.message_id) == ("ping", None) and got[2].m.name is None
+    assert all(bytes(got[i].again) == cases[i] for i in range(3)) and all(got[i].m is None and got[i].again is None for i in range(3, 7))
+    assert wire.read(cbor.dumps([19]), wire.CLIENT) == (19, "health_request", None, "[]") and len(wire.PEER) == 34 and len(wire.CLIENT) == 36
+
+
 RINGS = [("n", 0, 1, "primary", "a", 3.0), ("n", 0, 2, "primary", "b", 1.0), ("n", 2, 1, "primary", "c", 12.0), ("n", 2, 9, "secondary", "d", 11.0)]
 
 
