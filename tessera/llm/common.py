@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.shared import bounded, fits, met, shared_dir, written
+from tessera.shared import bounded, fits, met, shared_dir, split, written
 
-__all__ = ["SPACE", "bounded", "components", "fits", "frequent", "met", "shared_dir", "text_of", "written"]
+__all__ = ["SPACE", "bounded", "components", "fits", "frequent", "met", "shared_dir", "split", "text_of", "written"]
 
 #: ASCII white space, as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]+"

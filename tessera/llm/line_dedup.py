@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessera.llm.common import bounded, met, text_of, written
+from tessera.llm.common import fits, met, split, text_of, written
+from tessera.shared import BROADCAST_ROWS
 
 #: Words that make a repeated run worth deleting.
 MIN_WORDS = 50
@@ -124,8 +125,8 @@ def later_copies(rows: DataFrame, min_words: int) -> DataFrame:
     return written(found)
 
 
-def line_dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
-    """df with its text cleaned; with counts also n_lines, n_removed (long)."""
+def line_dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with its text cleaned; with counts also n_lines, n_removed (long). Cuts are broadcast if at most `most` documents have some."""
     added = ["n_lines", "n_removed"] if counts else []
     names = [c for c in df.columns if c not in added]
     kept = F.struct(*(F.col(f"`{n}`") for n in names)).alias("row")
@@ -137,7 +138,11 @@ def line_dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     merged = cuts.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(by))
     merged = merged.groupBy(*OWN, "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
     gone = written(merged.groupBy(*OWN).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts")))
-    joined = rows.join(bounded(gone), OWN, "left").select("row", "text", "cuts")
+    if fits(gone, most):
+        joined = rows.join(F.broadcast(gone), OWN, "left").select("row", "text", "cuts")
+    else:  # only texts that may have cuts shuffle
+        maybe, whole = split(rows, gone, OWN)
+        joined = maybe.join(gone, OWN, "left").select("row", "text", "cuts").unionByName(whole.select("row", "text", F.lit(None).cast(gone.schema["cuts"].dataType).alias("cuts")))
     fields = [f for f in df.schema.fields if f.name in names]
     out = StructType([StructField(f.name, StringType()) if f.name == text_col else f for f in fields])
     for name in added:

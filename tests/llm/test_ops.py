@@ -600,6 +600,13 @@ def test_twins_keep_their_lines(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, run), (2, ""), (2, unique)])
 
 
+def test_cuts_too_many_to_broadcast(spark):
+    run = "\n".join(f"line {i} with some words in it" for i in range(12))
+    df = spark.createDataFrame([(i, run if i % 3 else f"own text {i}") for i in range(30)] + [(None, run)], DOCS)
+    rows = lambda most: Counter(map(tuple, line_dedup.line_dedup(df, most=most).collect()))
+    assert rows(3) == rows(1000) and sum(1 for r in rows(3) if r[3]) == 19
+
+
 @pytest.mark.parametrize("least", [999, 1000])
 def test_payloads_at_the_limit(spark, least):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * least) for i in (1, 2, 3)], "page_id long, url string, html string")
