@@ -329,79 +329,96 @@ def test_warc(spark):
 # 6: LM scores
 
 
-def test_counts_sum_to_one():
-    rng = np.random.default_rng(0)
-    texts = [np.r_[rng.integers(0, 40, 30), lm_score.END].astype(np.int32) for _ in range(50)]
+def kneser_ney(texts, ids):
+    """P(c | a, b) by plain loops, for a vocabulary of so many ids."""
     c3 = Counter()
     for x in texts:
-        y = [lm_score.END, lm_score.END, *x.tolist()]
+        y = [lm_score.END, lm_score.END, *x]
         c3.update(zip(y, y[1:], y[2:], strict=False))
-    c2 = Counter()
-    for (_, b, c), n in c3.items():
-        c2[b, c] += n
-    pairs, triples = sorted(c2), sorted(t for t in c3 if c3[t] > 1)
-    before, single = np.zeros(lm_score.IDS), np.zeros(lm_score.IDS)
-    for (b, c), n in c2.items():
-        before[b] += n
-        single[c] += n
-    model = lm_score.Counts(np.array([(a << 16) + b for a, b in pairs]), np.array([float(c2[p]) for p in pairs]), np.array([(a << 32) + (b << 16) + c for a, b, c in triples]), np.array([float(c3[t]) for t in triples]), before, single, len(c3))
-    ids = np.arange(lm_score.IDS, dtype=np.int32)
-    for a, b in ((3, 5), (lm_score.END, 7), (9, 9)):
-        column = np.stack([np.full_like(ids, b), ids], 1)
-        lead = np.stack([np.full_like(ids, a), np.full_like(ids, b)], 1)
-        assert model(lead, column).sum() == pytest.approx(1, abs=1e-3)
-    # the whole model: one window whose last place takes every id
-    net = lm_score.Attention()
-    past = np.full((1, lm_score.BACK), lm_score.NO_ID, np.int32)
-    now = np.r_[texts[0][: lm_score.STEP - 1], 0].astype(np.int32)[None].repeat(lm_score.IDS, 0)
-    now[:, -1] = ids
-    total = sum(net.forward(past.repeat(len(part), 0), part, model)[0][:, -1].astype(float).sum() for part in np.array_split(now, 40))
-    assert total == pytest.approx(1, abs=2e-3)
+    c2, c1 = Counter((b, c) for _, b, c in c3), Counter()
+    c1.update(c for _, c in c2)
+
+    def discount(counts):
+        n = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+        return [min(max(k - (k + 1) * n[0] / (n[0] + 2 * n[1]) * n[k] / n[k - 1], 0.1), k - 0.1) if n[k - 1] and n[0] else 0.75 for k in (1, 2, 3)]
 
+    d3, d2 = discount(c3), discount(c2)
+    loss = lambda n, d: d[min(n, 3) - 1] if n else 0
 
-def test_counts_of_all_triples(spark, monkeypatch):
+    def mass(counts, key):
+        own = [n for k, n in counts.items() if k[:-1] == key]
+        return sum(own), own
+
+    def p(a, b, c):
+        p1 = (c1[c] + 1) / (len(c2) + ids)
+        total, own = mass(c2, (b,))
+        p2 = (c2[b, c] - loss(c2[b, c], d2) + sum(loss(n, d2) for n in own) * p1) / total if total else p1
+        total, own = mass(c3, (a, b)) if b != lm_score.END else (0, [])
+        return (c3[a, b, c] - loss(c3[a, b, c], d3) + sum(loss(n, d3) for n in own) * p2) / total if total else p2
+
+    return p
+
+
+def test_counts(spark, monkeypatch):
+    """The counts' probabilities against plain loops, for texts of the training rows and others; over all ids they sum to 1."""
     monkeypatch.setattr(lm_score, "CHUNK", 500)
     rng = np.random.default_rng(1)
-    texts = [np.r_[(rng.integers(0, 60, rng.integers(0, 60)) ** 2) // 60, lm_score.END].astype(np.int32) for _ in range(120)]
-    c3 = Counter()
-    for i, x in enumerate(texts):
-        if i % 7 != 2:
-            y = [lm_score.END, lm_score.END, *x.tolist()]
-            c3.update(zip(y, y[1:], y[2:], strict=False))
-    c2 = Counter()
-    for (_, b, c), n in c3.items():
-        c2[b, c] += n
-    assert min(c3.values()) == 1
-    before, single = np.zeros(lm_score.IDS), np.zeros(lm_score.IDS)
-    for (b, c), n in c2.items():
-        before[b] += n
-        single[c] += n
-    pairs, triples = sorted(c2), sorted(c3)
-    model = lm_score.Counts(np.array([(a << 16) + b for a, b in pairs]), np.array([float(c2[p]) for p in pairs]), np.array([(a << 32) + (b << 16) + c for a, b, c in triples]), np.array([float(c3[t]) for t in triples]), before, single, len(c3))
+    texts = [np.r_[(rng.integers(0, 60, rng.integers(0, 60)) ** 2) // 60, lm_score.END].astype(np.int32) for _ in range(70)]
+    p = kneser_ney([x.tolist() for i, x in enumerate(texts) if i % 7 != 2], lm_score.IDS)
     rows = [(i, i % 7 == 2, x.astype("<u2").tobytes(), i // 9) for i, x in enumerate(texts)]
     tokens = spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary, chunk long").repartition(3)
     got = {r.doc_id: np.frombuffer(r.base, "<f4") for r in lm_score.based(tokens).collect()}
     assert len(got) == len(texts)
     for i, x in enumerate(texts):
-        ids = np.r_[lm_score.NO_ID, x].astype(np.int32)[None]
-        lead = np.r_[lm_score.END, lm_score.END, x[:-1]].astype(np.int32)[None]
-        assert np.allclose(got[i], model(lead, ids)[0], rtol=1e-4, atol=1e-9)
+        y = [lm_score.END, lm_score.END, *x.tolist()]
+        assert np.allclose(got[i], [p(*t) for t in zip(y, y[1:], y[2:], strict=False)], rtol=1e-4, atol=1e-9)
+    rest = range(60, lm_score.IDS - 1)  # ids that no text has: all alike
+    for a, b in ((0, 1), (lm_score.END, lm_score.END), (5, 59), (lm_score.END, 0)):
+        assert sum(p(a, b, c) for c in (*range(60), lm_score.END)) + len(rest) * p(a, b, 60) == pytest.approx(1)
+
+
+def test_attention_sums_to_one():
+    """One window whose last place takes every id, over counts that give all the same."""
+    rng = np.random.default_rng(0)
+    net = lm_score.Attention()
+    ids = np.arange(lm_score.IDS, dtype=np.int32)
+    now = rng.integers(0, 40, lm_score.STEP).astype(np.int32)[None].repeat(lm_score.IDS, 0)
+    now[:, -1] = ids
+    past = rng.integers(0, 40, (1, lm_score.BACK)).astype(np.int32)
+    total = sum(net.forward(past.repeat(len(part), 0), part, np.full(part.shape, 1 / lm_score.IDS, np.float32))[0][:, -1].astype(float).sum() for part in np.array_split(now, 40))
+    assert total == pytest.approx(1, abs=2e-3)
+
+
+def test_log_probabilities_by_a_loop():
+    """Windows and batches against a loop over single ids with the same parameters."""
+    rng = np.random.default_rng(2)
+    values = lm_score.Attention().values.copy()
+    values += rng.normal(0, 0.3, values.shape).astype(np.float32)
+    net = lm_score.Attention(values)
+    texts = [rng.integers(0, 30, n).astype(np.int32) for n in (1, 15, 16, 17, 100)]
+    bases = [rng.uniform(0.001, 0.1, len(x)).astype(np.float32) for x in texts]
+    got = lm_score.log10_probabilities(texts, bases, net)
+    row = lambda i: int(net.rows(np.array([i]))[0])
+    distance = values[lm_score.ROWS :, : lm_score.STEP].reshape(-1)
+    for x, base, score in zip(texts, bases, got, strict=True):
+        want = 0.0
+        for t in range(len(x)):
+            first = max(0, t // lm_score.STEP * lm_score.STEP - lm_score.BACK)
+            before = lambda j: row(x[j - 1] if j else lm_score.END)
+            weight = {j: math.exp(float(net.q[before(t)] @ net.k[before(j) if j > first or not j else row(lm_score.END)]) + float(net.bias[row(x[j])]) + float(distance[t - j - 1])) for j in range(first, t)}
+            sink = math.exp(float(values[before(t), 2 * lm_score.DIM + 1]))
+            copied = sum(w for j, w in weight.items() if x[j] == x[t])
+            want += math.log10((sink * float(base[t]) + copied) / (sink + sum(weight.values())))
+        assert score == pytest.approx(want, rel=1e-4)
 
 
 def test_training_takes_all_windows(spark):
     x = np.arange(100, 260, dtype=np.int32)
     rows = [(x.astype("<u2").tobytes(), np.full(len(x), 0.01, np.float32).tobytes())]
-    net = lm_score.trained(spark.createDataFrame(rows, "ids binary, base binary"))
+    net = lm_score.trained(spark.createDataFrame(rows, "ids binary, without binary"))
     assert (net.values[net.rows(x[:-1]), 2 * lm_score.DIM + 1] != 4.5).all()  # every id that another follows moved its sentinel
 
 
-def test_places():
-    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 36, 5000))
-    find = lm_score.Places(keys)
-    at, kept = find(np.r_[keys, keys + 1])
-    assert kept[: len(keys)].all() and (at[: len(keys)] == np.arange(len(keys))).all() and (kept[len(keys) :] == np.isin(keys + 1, keys)).all()
-
-
 def test_scores(spark, odd, none):
     r = random.Random(5)
     names = [f"{a}{b}" for a in ("the", "re", "tion", "an", "ou") for b in ("ing", "ed", "er", "ly")]
