@@ -476,3 +476,22 @@ def test_queries_walk_together(spark, monkeypatch):
     want = {(q, (q % 5 + k) % 100): (k + 1) // 2 for q in range(128) for k in range(9) if (q % 5 + k) % 2 == 0} | {(q, 9): (10 - q % 5) // 2 for q in (128, 129)}
     assert got == want
     assert max(t.count() for t in made if "dst" not in t.columns) <= 130 and sum(t.count() for t in made if "dst" not in t.columns) < 500  # not a row for each query and node
+
+
+def test_packed_blocks(spark):
+    contents = [b"", b"x", bytes(range(256)) * 3, b"y" * 200]
+    df = spark.createDataFrame(list(enumerate(contents)), "file_id long, content binary")
+    stored, tuples = blocks.encode(df, 200, 3, packed=True, kept=False)
+    plain, same = blocks.encode(df, 200, 3)
+    whole = blocks.opened(stored, 200)
+    assert blocks.damaged(whole).isEmpty() and whole.exceptAll(plain).isEmpty() and tuples.exceptAll(same).isEmpty() and whole.where(F.octet_length("data") != 200).isEmpty()
+    assert stored.agg(F.sum(F.octet_length("head"))).first()[0] == sum(map(len, contents))  # not three blocks for each
+    sizes = df.select("file_id", F.lit(0).alias("start"), F.octet_length("content").alias("end"))
+    want = {i: c for i, c in enumerate(contents) if c}
+    as_heads = plain.select("hash", F.col("data").alias("head"), F.array().cast("array<struct<name:string,skip:int>>").alias("fill"))  # blocks from elsewhere have no recipe
+    for some in (stored.unionByName(stored), as_heads.join(tuples.where("pos = 0"), "hash", "left_semi").unionByName(stored.join(tuples.where("pos <> 0"), "hash", "left_semi"))):
+        assert {r.file_id: bytes(r.content) for r in blocks.read_range(tuples, some, sizes, 200).collect()} == want
+    for some, pos in ((stored, 0), (stored, 2), (as_heads, 1)):
+        lost = some.join(tuples.where(f"file_id = 2 and tuple_no = 1 and pos = {pos}"), "hash", "left_anti")
+        got = {(r.file_id, r.tuple_no): r.data for r in blocks.decode(tuples, lost, size=200).collect()}
+        assert len(got) == 6 and [k for k, v in got.items() if v is None] == [(2, 1)]
