@@ -495,3 +495,13 @@ def test_packed_blocks(spark):
         lost = some.join(tuples.where(f"file_id = 2 and tuple_no = 1 and pos = {pos}"), "hash", "left_anti")
         got = {(r.file_id, r.tuple_no): r.data for r in blocks.decode(tuples, lost, size=200).collect()}
         assert len(got) == 6 and [k for k, v in got.items() if v is None] == [(2, 1)]
+
+
+def test_put_packed(spark):
+    contents = {1: b"", 2: b"x", 3: bytes(range(256)) * 6, 4: None, 5: b"too long" * 4000}
+    df = spark.createDataFrame(list(contents.items()), "file_id long, content binary")
+    stored, resources = blocks.put(df, 4000, 3, free=45_000, packed=True, kept=False)
+    assert stored.agg(F.sum(F.octet_length("head"))).first()[0] == 1537 + 2 * 3 * 32
+    asked = resources.where("outcome = 'stored'").withColumnRenamed("file_id", "request")
+    whole = blocks.get(asked.withColumn("start", F.lit(0)).withColumn("end", F.col("length")), stored, 4000)
+    assert {r.request: (bytes(r.content), r.intact) for r in whole.collect()} == {k: (contents[k] or b"", True) for k in (1, 2, 3, 4)}
