@@ -12,7 +12,7 @@ import public_tokenizers as tokenizer_files
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, fingerprints, line_dedup, lm_score, packing, quality, sentencepieces, simhash, url_filter, warc
+from tessera.llm import common, exact_dedup, fingerprints, line_dedup, lm_score, packing, quality, sentencepieces, simhash, url_filter, warc
 
 RANKS, PATTERN = tokenizer_files.path("byte_bpe_50k.tiktoken"), tokenizer_files.PATTERN
 JSON, PIECES = tokenizer_files.path("byte_bpe_50k.json"), tokenizer_files.path("piece_bpe_32k.model")
@@ -80,6 +80,24 @@ def test_bit_sliced_links(radius):
     assert got.tolist() == smallest(n, lambda i, j: bucket[i] == bucket[j] and int(value[i] ^ value[j]).bit_count() <= radius)
 
 
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch):
+    """Few edges meet on the driver after one written table; beyond the limit rounds find the same."""
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 40)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(150)] + [(-(1 << 63), (1 << 63) - 1), (7, 7), (1, 0)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    rounds = sorted(tuple(x) for x in common.components(df, limit=0).collect())
+    tables = []
+    monkeypatch.setattr(common, "written", lambda x, write=common.written: tables.append(x) or write(x))
+    assert sorted(tuple(x) for x in common.components(df).collect()) == rounds and len(tables) == 1
+    low = {n: n for e in edges if e[0] != e[1] for n in e}
+    while any(low[a] != low[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    assert rounds == sorted(low.items())
+    assert common.components(df.limit(0)).isEmpty()
+
+
 def test_simhash_components(spark, odd, none):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
