@@ -437,6 +437,64 @@ def test_training_takes_all_windows(spark):
     assert (net.values[net.rows(x[:-1]), 2 * lm_score.DIM + 1] != 4.5).all()  # every id that another follows moved its sentinel
 
 
+def predicting(seed, noise):
+    """A model with a head whose parameters are drawn."""
+    rng = np.random.default_rng(seed)
+    net = lm_score.Attention()
+    net.head = lm_score.Predictor(np.arange(lm_score.IDS, dtype=np.int64).tobytes())
+    rows = lm_score.flat(net)
+    return lm_score.unflat(rows + rng.normal(0, noise, rows.shape), net.head.counts)
+
+
+def test_output_predicts_every_id():
+    """One window whose last place takes every id: what the attention's output predicts sums to 1, and so does the mixture."""
+    rng, net = np.random.default_rng(0), predicting(1, 0.2)
+    now = rng.integers(0, 40, lm_score.STEP).astype(np.int32)[None].repeat(lm_score.IDS, 0)
+    now[:, -1] = np.arange(lm_score.IDS)
+    past = rng.integers(0, 40, (1, lm_score.BACK)).astype(np.int32)
+    found = [net.forward(past.repeat(len(x), 0), x, np.full(x.shape, 1 / lm_score.IDS, np.float32)) for x in np.array_split(now, 40)]
+    assert sum(f[0][:, -1].astype(float).sum() for f in found) == pytest.approx(1, abs=2e-3)
+    soft = np.concatenate([f[-1][0][:, -1] for f in found]).astype(float)
+    assert soft.sum() == pytest.approx(1, abs=2e-3)
+    other = net.forward(now[:1, : lm_score.BACK], now[:1], np.full((1, lm_score.STEP), 1 / lm_score.IDS, np.float32))[-1][0][0, -1]
+    assert other != soft[0]  # it depends on what stands before
+
+
+def test_gradients_by_differences():
+    """The steps' gradients, of the attention too, against differences of the loss."""
+    net = predicting(4, 0.1)
+    rng = np.random.default_rng(5)
+    past, now = (rng.integers(0, 30, (6, n)).astype(np.int32) for n in (lm_score.BACK, lm_score.STEP))
+    base = rng.uniform(0.001, 0.01, now.shape).astype(np.float32)
+    rows = lm_score.flat(net).astype(float)
+    loss = lambda x: -np.log(lm_score.unflat(x, net.head.counts).forward(past, now, base)[0].astype(float)).mean()
+    seen = np.zeros_like(net.values), np.zeros_like(net.head.rows), np.zeros_like(net.head.nodes)
+    net.step(past, now, base, seen[0], seen[1:])  # squared gradients
+    squares = np.concatenate([x.ravel() for x in seen])
+    width = rows.shape[1]
+    a, b = net.values.size, net.values.size + net.head.rows.size
+    for lo, hi in ((0, a), (a, b), (b, len(squares))):
+        for at in lo + np.argsort(-squares[lo:hi])[:4]:
+            ends = []
+            for d in (1e-2, -1e-2):
+                x = rows.copy()
+                x[at // width, at % width] += d
+                ends.append(loss(x))
+            assert abs(ends[0] - ends[1]) / 2e-2 == pytest.approx(squares[at] ** 0.5, rel=0.03, abs=2e-5)
+
+
+def test_ids_that_follow_are_predicted(spark):
+    """Counts that know nothing: what follows is learnt by the attention's output, though nothing can be copied."""
+    x = np.concatenate([np.random.default_rng(i).permutation(200).astype(np.int32) * 2 for i in range(150)])
+    x = np.c_[x, x + 1].ravel()  # an odd id follows its even one; none comes twice in a window but by chance
+    rows = [(x.astype("<u2").tobytes(), np.full(len(x), 1e-3, np.float32).tobytes())]
+    net = lm_score.trained(spark.createDataFrame(rows, "ids binary, without binary"))
+    flat = [np.full(len(x), 1e-3, np.float32)]
+    got = lm_score.log10_probabilities([x], flat, net)
+    net.head = None
+    assert got / len(x) > lm_score.log10_probabilities([x], flat, net) / len(x) + 0.3
+
+
 def test_scores(spark, odd, none):
     r = random.Random(5)
     names = [f"{a}{b}" for a in ("the", "re", "tion", "an", "ou") for b in ("ing", "ed", "er", "ly")]
