@@ -437,6 +437,27 @@ def test_training_takes_all_windows(spark):
     assert (net.values[net.rows(x[:-1]), 2 * lm_score.DIM + 1] != 4.5).all()  # every id that another follows moved its sentinel
 
 
+def test_answers_leave_no_shuffles(spark, monkeypatch):
+    """A triple is asked for once by each group of texts, the answers are 8 bytes for it, and nothing else stays on disk."""
+    monkeypatch.setattr(lm_score, "SHARD", 2_000)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in (manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size())) if f.startswith("shuffle_")}
+    rng = np.random.default_rng(2)
+    texts = [np.r_[rng.integers(0, 30, 200), lm_score.END].astype(np.int32) for _ in range(60)]
+    rows = [(i, i % 7 == 2, x.astype("<u2").tobytes(), i // 20) for i, x in enumerate(texts)]
+    tokens = lm_score.written(spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary, chunk long").repartition(3))
+    before = shuffles()
+    found, shards = lm_score.answers(tokens)
+    assert not [f for f in shuffles() - before if f.endswith(".data")]
+    groups = {}
+    for i, x in enumerate(texts):
+        y = [lm_score.END, lm_score.END, *x.tolist()]
+        groups.setdefault((i // 20) * 2 + (i % 7 == 2), set()).update(zip(y, y[1:], y[2:], strict=False))
+    assert shards > 1 and {r.part: r.n for r in found.groupBy("part").agg(F.sum(F.length("p") + F.length("q")).alias("n")).collect()} == {k: 8 * len(v) for k, v in groups.items()}
+    x = np.array([0, 1, 1 << 47, 5, 70_000])
+    assert (lm_score.unpacked(lm_score.packed(x, 6), 6, "<i8") == x).all()
+
+
 def predicting(seed, noise):
     """A model with a head whose parameters are drawn."""
     rng = np.random.default_rng(seed)
