@@ -458,6 +458,43 @@ def test_answers_leave_no_shuffles(spark, monkeypatch):
     assert (lm_score.unpacked(lm_score.packed(x, 6), 6, "<i8") == x).all()
 
 
+def test_rounds_take_all_texts_in_parts(spark, monkeypatch):
+    """Every text is trained on and scored once, a part of them at a time; counts and what they give are those of all rounds, and a round goes on from the one before."""
+    monkeypatch.setattr(lm_score, "CHUNK", 300)
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, " ".join(r.choice(("the", "red", "ant", "ran", "over")) for _ in range(60))) for i in range(200)], "doc_id long, text string").repartition(2)
+    once = {r.doc_id: r for r in lm_score.scores(df, RANKS, PATTERN).collect()}
+    monkeypatch.setattr(lm_score, "ROUND", 4_000)
+    sizes, begun, trained, attached = [], [], lm_score.trained, lm_score.attached
+
+    def spy(tokens, answered, shards):
+        sizes.append(tokens.agg(F.sum(F.length("ids"))).first()[0] // 2)
+        return attached(tokens, answered, shards)
+
+    def spy_trained(train, counts, before):
+        begun.append(before)
+        return trained(train, counts, before)
+
+    monkeypatch.setattr(lm_score, "attached", spy)
+    monkeypatch.setattr(lm_score, "trained", spy_trained)
+    rows = lm_score.scores(df, RANKS, PATTERN).collect()
+    total = sum(sizes[4:])
+    assert len(sizes) == 8 and max(sizes) <= total / 3 and total >= 12_000 and sum(sizes[:4]) < total
+    assert begun[0] is None and all(b is not None for b in begun[1:])
+    same = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    assert len(rows) == 200 and all([getattr(r, c) for c in same] == [getattr(once[r.doc_id], c) for c in same] for r in rows)
+    assert sum(r.score for r in rows) > sum(once[r.doc_id].score for r in rows) - 0.05 * abs(sum(r.score for r in rows))
+    tokens = lm_score.written(spark.createDataFrame([(i, i % 7 == 2, np.array([*map(ord, "to be or not to be"), lm_score.END], "<u2").tobytes(), i // 3) for i in range(20)], "doc_id long, held_out boolean, ids binary, chunk long"))
+    whole, shards = lm_score.answers(tokens)
+    found, _ = lm_score.answers_of(lm_score.in_rounds(tokens, 3), 20 * 19)
+    values = lambda df: {(r.part, r.shard): (r.p, r.q) for r in df.collect()}
+    parts = [values(x) for x in found]
+    assert all(parts) and {k: v for x in parts for k, v in x.items()} == values(whole) and sum(map(len, parts)) == len(values(whole))
+    keys = np.random.default_rng(0).integers(0, 50, 300) << 33
+    assert all((a == b).all() for a, b in zip(lm_score.placed(keys), np.unique(keys, return_inverse=True), strict=True))
+    assert [len(x) for x in lm_score.placed(keys[:0])] == [0, 0]
+
+
 def predicting(seed, noise):
     """A model with a head whose parameters are drawn."""
     rng = np.random.default_rng(seed)
