@@ -35,3 +35,16 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["xor_roundtrip"])
+def test_odd_documents(spark, tmp_path, name):
+    """Null and empty texts, null ids, ids that rows share, with equal and with other texts."""
+    rows = [(1, "a"), (2, ""), (3, None), (7, "same"), (7, "same"), (8, "one"), (8, "other" * 2000), (8, None), (None, "no id"), (None, ""), (9, "z" * 40_000), (10, "z" * 40_001), (14, ""), (14, ""), (-5, "ä\0𝄞" * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = entry.queries()[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    odd = duckdb.connect()
+    odd.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = odd.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+    assert plain(tuple(r) for r in df.select(*columns).collect()) == plain(want)
