@@ -37,7 +37,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["xor_roundtrip"])
+@pytest.mark.parametrize("name", ["put_get_roundtrip", "xor_roundtrip"])
 def test_odd_documents(spark, tmp_path, name):
     """Null and empty texts, null ids, ids that rows share, with equal and with other texts."""
     rows = [(1, "a"), (2, ""), (3, None), (7, "same"), (7, "same"), (8, "one"), (8, "other" * 2000), (8, None), (None, "no id"), (None, ""), (9, "z" * 40_000), (10, "z" * 40_001), (14, ""), (14, ""), (-5, "ä\0𝄞" * 3000)]
